@@ -19,6 +19,8 @@ MODULES = (
     "cohorts",
     "metrics",
     "graph",
+    "features",
+    "digest",
 )
 
 

@@ -36,9 +36,12 @@ def hot_keys(
 
 
 def assign_slot(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot") -> DataFrame:
-    """Put each row of a hot key into one of its slots; the hash makes retries repeatable."""
+    """Put each row of a hot key into one of its slots; the hash makes retries repeatable.
+
+    Without hot keys the rows are left as they are, and slot_keys names the plain key.
+    """
     if hot is None:
-        return df.withColumn(slot, F.lit(0))
+        return df
     others = [c for c in df.columns if c != key] or [key]
     # a null key matches nothing wherever it lands, so those rows are spread as well
     slots = F.when(F.col(key).isNull(), F.lit(round(1 / HOT_SHARE))).otherwise(F.coalesce(F.col("_slots"), F.lit(1)))
@@ -48,7 +51,7 @@ def assign_slot(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_sl
 def fan_out(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot") -> DataFrame:
     """Copy the rows of hot keys into every slot of the key."""
     if hot is None:
-        return df.withColumn(slot, F.lit(0))
+        return df
     return (
         df.join(F.broadcast(hot), key, "left")
         .withColumn(slot, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slots"), F.lit(1)) - 1)))
@@ -56,6 +59,10 @@ def fan_out(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot")
     )
 
 
+def slot_keys(hot: DataFrame | None, key: str, slot: str = "_slot") -> list[str]:
+    return [key] if hot is None else [key, slot]
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -72,6 +79,4 @@ def spread_join(
     the left side where they are known already; otherwise they are counted first.
     """
     hot = hot_keys(count_keys(left, key) if counts is None else counts, key, share, min_rows)
-    if hot is None:
-        return left.join(right, key, how)
-    return assign_slot(left, hot, key).join(fan_out(right, hot, key), [key, "_slot"], how).drop("_slot")
+    return assign_slot(left, hot, key).join(fan_out(right, hot, key), slot_keys(hot, key), how).drop("_slot")
