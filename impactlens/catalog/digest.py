@@ -95,17 +95,17 @@ def d4(spark, sf):
 
 
 _EVENTS = f"""{V.SUBSCRIPTIONS}, valid AS (
-  SELECT lower(trim(email)) AS email, action, at, seq FROM subscription_log
+  SELECT lower(trim(email)) AS email, action, "at", seq FROM subscription_log
   WHERE regexp_matches(lower(trim(email)), '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')),
 marked AS (
-  SELECT *, sum(CASE WHEN action = 'unsubscribe' THEN 1 ELSE 0 END) OVER (PARTITION BY email ORDER BY at, seq) AS era,
+  SELECT *, sum(CASE WHEN action = 'unsubscribe' THEN 1 ELSE 0 END) OVER (PARTITION BY email ORDER BY "at", seq) AS era,
     sum(CASE WHEN action = 'unsubscribe' THEN 1 ELSE 0 END) OVER (PARTITION BY email) AS last_era,
-    lag(action) OVER (PARTITION BY email ORDER BY at, seq) AS previous FROM valid)"""
+    lag(action) OVER (PARTITION BY email ORDER BY "at", seq) AS previous FROM valid)"""
 
 
 @query(
     "d5_subscribers",
-    f"WITH {_EVENTS} SELECT email, min(at) AS created_at FROM marked WHERE era = last_era AND action = 'subscribe' GROUP BY 1",
+    f"WITH {_EVENTS} SELECT email, min(\"at\") AS created_at FROM marked WHERE era = last_era AND action = 'subscribe' GROUP BY 1",
 )
 def d5(spark, sf):
     return subscribers.subscribers(V.subscription_log(spark, sf))
@@ -113,7 +113,7 @@ def d5(spark, sf):
 
 @query(
     "d6_unsubscribe_replies",
-    f"""WITH {_EVENTS} SELECT seq, email, at, CASE WHEN previous = 'subscribe' THEN 'Unsubscribed' ELSE 'Not found' END AS reply
+    f"""WITH {_EVENTS} SELECT seq, email, "at", CASE WHEN previous = 'subscribe' THEN 'Unsubscribed' ELSE 'Not found' END AS reply
 FROM marked WHERE action = 'unsubscribe'""",
 )
 def d6(spark, sf):

@@ -20,7 +20,9 @@ MODULES = (
     "metrics",
     "graph",
     "features",
+    "models",
     "digest",
+    "streams",
 )
 
 

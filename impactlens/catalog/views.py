@@ -119,8 +119,11 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def subscription_log(spark: SparkSession, sf: str) -> DataFrame:
+    return subscription_events(table(spark, sf, "events"))
+
+
+def subscription_events(events: DataFrame) -> DataFrame:
     """Sign-ups subscribe, errors unsubscribe; clicks carry an address without a domain."""
-    events = table(spark, sf, "events")
     domain = F.when(F.col("event_type") == "click", "@example").otherwise("@Example.com ")
     return events.select(
         F.concat(F.lit(" User"), F.col("user_id"), domain).alias("email"),
@@ -133,5 +136,5 @@ def subscription_log(spark: SparkSession, sf: str) -> DataFrame:
 
 SUBSCRIPTIONS = """subscription_log AS (
   SELECT ' User' || user_id || CASE WHEN event_type = 'click' THEN '@example' ELSE '@Example.com ' END AS email,
-         CASE WHEN event_type = 'error' THEN 'unsubscribe' ELSE 'subscribe' END AS action, ts AS at, event_id AS seq
+         CASE WHEN event_type = 'error' THEN 'unsubscribe' ELSE 'subscribe' END AS action, ts AS "at", event_id AS seq
   FROM events WHERE event_type IN ('signup', 'error', 'click'))"""

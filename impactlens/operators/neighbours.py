@@ -103,21 +103,23 @@ def nearest_older(
 
     queries = laid_out(visits, "_q", q_blocks, "_m", m_blocks)
     candidates = laid_out(members, "_m", m_blocks, "_q", q_blocks)
+    # both sides stem from the same rows: fresh names keep their columns apart in the cogroup
+    candidates = candidates.select(*[F.col(c).alias(f"m_{c}") for c in ("paper_id", "age", "vec", "cell", "_q", "_m")])
 
     def compare(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(m):
-            m = m.sort_values(["age", "paper_id"])
-            similarity = _unit(q["vec"]) @ _unit(m["vec"]).T
-            similarity[m["age"].to_numpy()[None, :] >= q["age"].to_numpy()[:, None]] = -np.inf
+            m = m.sort_values(["m_age", "m_paper_id"])
+            similarity = _unit(q["vec"]) @ _unit(m["m_vec"]).T
+            similarity[m["m_age"].to_numpy()[None, :] >= q["age"].to_numpy()[:, None]] = -np.inf
             best = np.argsort(-np.round(similarity, 12), axis=1, kind="stable")[:, :k]  # equal vectors tie
             for i, at in enumerate(best):
                 s = similarity[i, at]
                 ok = s > -np.inf
                 found.append(
                     pd.DataFrame(
-                        {"paper_id": q["paper_id"].iat[i], "neighbour": m["paper_id"].to_numpy()[at[ok]],
-                         "neighbour_age": m["age"].to_numpy()[at[ok]], "similarity": s[ok]}
+                        {"paper_id": q["paper_id"].iat[i], "neighbour": m["m_paper_id"].to_numpy()[at[ok]],
+                         "neighbour_age": m["m_age"].to_numpy()[at[ok]], "similarity": s[ok]}
                     )
                 )
         return pd.concat(found) if found else pd.DataFrame(columns=["paper_id", "neighbour", "neighbour_age", "similarity"])
@@ -125,7 +127,7 @@ def nearest_older(
     keys = ["cell", "_q", "_m"]
     near = (
         queries.groupBy(*keys)
-        .cogroup(candidates.groupBy(*keys))
+        .cogroup(candidates.groupBy(*[f"m_{c}" for c in keys]))
         .applyInPandas(compare, f"paper_id {id_type}, neighbour {id_type}, neighbour_age {age_type}, similarity DOUBLE")
     )
     order = W.partitionBy("paper_id").orderBy(F.desc(F.round("similarity", 12)), "neighbour_age", "neighbour")
