@@ -28,12 +28,12 @@ def graph_papers(papers: DataFrame, cutoff: str | None = None) -> DataFrame:
 
 
 def incidence(authors: DataFrame, cutoff: str | None = None) -> DataFrame:
-    """(paper_id, author, n_authors) of the papers that enter the graph, from authorship rows.
+    """(paper_id, author, n_authors) of the papers that enter the graph, from distinct authorship rows.
 
     Linear in the input, and all that centrality needs: a paper's co-author pairs are never
     written out for it.
     """
-    rows = authors.filter(before_cutoff(cutoff)).select("paper_id", "author").distinct()
+    rows = authors.filter(before_cutoff(cutoff)).select("paper_id", "author")
     sizes = rows.groupBy("paper_id").agg(F.count(F.lit(1)).cast("int").alias("n_authors")).filter("n_authors >= 2")
     return rows.join(sizes, "paper_id")
 

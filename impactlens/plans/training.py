@@ -20,7 +20,7 @@ from impactlens.operators.ordering import quantiles
 from impactlens.operators.text_features import TextFeaturizer
 from impactlens.storage import durable
 
-TEXT_ENCODERS = ("tfidf", "transformer", "hybrid")
+TEXT_ENCODERS = ("tfidf", "transformer", "hybrid", "none")
 SEED = 42
 MIN_FIELD_RESIDUALS = 50
 
@@ -87,7 +87,7 @@ class Artifacts:
             df = df.withColumn("text_emb", array_to_vector(F.col("embedding").cast("array<double>")))
         elif self.text_encoder == "hybrid":
             df = df.withColumn("text_emb", array_to_vector(hybrid(F.col("embedding"), vector_to_array("text_emb"))))
-        return meta.assembler(self.graph).transform(self.meta_encoder.transform(df))
+        return meta.assembler(self.graph, self.text_encoder != "none").transform(self.meta_encoder.transform(df))
 
 
 def train(
@@ -102,14 +102,15 @@ def train(
     """Fit one boosted-tree regressor per horizon (months -> label column) on shared features.
 
     `papers` carries title, abstract, primary_cat, month, n_authors, published, the labels, and
-    `embedding` or the graph feature columns where asked for. Encoders see the training dates only.
+    `embedding` or the graph feature columns where asked for; "none" leaves text out. Encoders see
+    the training dates only.
     """
     if text_encoder not in TEXT_ENCODERS:
         raise ValueError(f"text_encoder must be one of {TEXT_ENCODERS}")
     horizons = horizons or {12: "y12"}
     split = durable(split_by_time(papers))
     fit_rows = split.filter("split = 'train'")
-    text_model = None if text_encoder == "transformer" else (featurizer or TextFeaturizer()).fit(fit_rows)
+    text_model = None if text_encoder in ("transformer", "none") else (featurizer or TextFeaturizer()).fit(fit_rows)
     made = Artifacts(meta.MetaFeaturizer().fit(fit_rows), {}, text_model, text_encoder, graph)
     rows = durable(
         made.features(split).select("paper_id", "published", "primary_cat", "split", "features", *horizons.values())
