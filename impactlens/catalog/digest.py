@@ -44,31 +44,32 @@ def d1(spark, sf):
 
 
 def _breakdowns(spark, sf):
-    """The lines of an order as its keywords, with four publications each."""
-    lines, part = V.table(spark, sf, "lineitem"), V.table(spark, sf, "part")
-    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    venues = F.array(*[F.struct(F.col(c).alias("venue")) for c in ("l_returnflag", "l_linestatus", "l_returnflag", "p_brand")])
-    keyword = F.struct(
-        F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("l"), F.col("p_name").alias("keyword"),
-        F.when(F.col("l_returnflag") != "N", F.col("l_discount") * 10).alias("relevance"),
-        F.col("l_quantity").cast("long").alias("num_works"), F.col("l_extendedprice").alias("total_contribution"),
-        venues.alias("top_publications"),
-    )
-    return rows.groupBy(F.col("l_orderkey").alias("paper_id")).agg(F.sort_array(F.collect_list(keyword)).alias("breakdown"))
+    """The words of a document's first line as its keywords, with four publications each."""
+    def keyword(w):
+        size = F.length(w)
+        publications = F.array(
+            *[F.struct(c.alias("venue")) for c in (F.col("primary_cat"), F.substring(w, 1, 1), F.col("primary_cat"), F.lit("last"))]
+        )
+        return F.struct(
+            w.alias("keyword"), F.when(size > 3, size / F.lit(10.0)).alias("relevance"), size.cast("long").alias("num_works"),
+            (size * F.lit(1.5)).alias("total_contribution"), publications.alias("top_publications"),
+        )
+
+    return V.doc_papers(spark, sf).select("paper_id", F.transform(F.split("title", " "), keyword).alias("breakdown"))
 
 
-_LINES = """b AS (
-  SELECT l_orderkey AS paper_id, p_name AS keyword, CASE WHEN l_returnflag <> 'N' THEN l_discount * 10 END AS relevance, CAST(l_quantity AS BIGINT) AS num_works,
-    CASE WHEN l_returnflag = l_linestatus THEN l_returnflag ELSE l_returnflag || ',' || l_linestatus END AS venues,
-    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, p_name,
-      CASE WHEN l_returnflag <> 'N' THEN l_discount * 10 END NULLS FIRST, l_quantity, l_extendedprice) - 1 AS INTEGER) AS i,
-    count(*) OVER (PARTITION BY l_orderkey) AS n
-  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+_WORDS = f"""{V.DOC_PAPERS}, w AS (
+  SELECT paper_id, primary_cat, unnest(string_split(title, ' ')) AS keyword, generate_subscripts(string_split(title, ' '), 1) - 1 AS p,
+    len(string_split(title, ' ')) AS n FROM doc_papers),
+b AS (
+  SELECT paper_id, keyword, CASE WHEN length(keyword) > 3 THEN length(keyword) / 10.0::DOUBLE END AS relevance, length(keyword) AS num_works,
+    CASE WHEN substring(keyword, 1, 1) = primary_cat THEN primary_cat ELSE primary_cat || ',' || substring(keyword, 1, 1) END AS venues,
+    CAST(p AS INTEGER) AS i, n FROM w)"""
 
 
 @query(
     "d2_keyword_relevance",
-    f"WITH {_LINES} SELECT paper_id, i, keyword, CASE WHEN relevance IS NULL THEN 'unknown' ELSE printf('%.1f', relevance) END AS relevance FROM b",
+    f"WITH {_WORDS} SELECT paper_id, i, keyword, CASE WHEN relevance IS NULL THEN 'unknown' ELSE printf('%.1f', relevance) END AS relevance FROM b",
 )
 def d2(spark, sf):
     rows = _breakdowns(spark, sf).select("paper_id", F.posexplode(digest.keyword_list(F.col("breakdown"))).alias("i", "k"))
@@ -77,7 +78,7 @@ def d2(spark, sf):
 
 @query(
     "d3_w8_a11_keyword_activity",
-    f"WITH {_LINES} SELECT paper_id, i, keyword, num_works, venues, CAST(greatest(n - 3, 0) AS INTEGER) AS more_keywords FROM b WHERE i < 3",
+    f"WITH {_WORDS} SELECT paper_id, i, keyword, num_works, venues, CAST(greatest(n - 3, 0) AS INTEGER) AS more_keywords FROM b WHERE i < 3",
 )
 def d3(spark, sf):
     rows = digest.keyword_activity(_breakdowns(spark, sf)).select("paper_id", F.posexplode("activity").alias("i", "k"), "more_keywords")

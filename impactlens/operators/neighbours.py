@@ -20,6 +20,7 @@ from impactlens.storage import durable
 
 PIVOTS = 256
 BLOCK = 4096
+MAX_FIELDS = 1000
 
 
 def nearest_older(
@@ -217,7 +218,9 @@ def impact_proximity(papers: DataFrame, top_share: float = 0.1) -> DataFrame:
     means = marked.join(history, ["primary_cat", "pub_year"]).select(
         "paper_id", C.dot(F.col("_unit"), F.col("_mean")).alias("mean_similarity")
     )
-    fields = [r[0] for r in marked.select("primary_cat").distinct().orderBy("primary_cat").collect()]  # a category list
+    fields = [r[0] for r in marked.select("primary_cat").distinct().orderBy("primary_cat").limit(MAX_FIELDS + 1).collect()]
+    if len(fields) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} fields")
     far = 2.0
     axis = F.transform(F.array(*map(F.lit, fields)), lambda f: F.when(f == F.col("primary_cat"), far).otherwise(0.0))
     placed = marked.select("paper_id", "pub_year", "candidate", F.concat("_unit", axis).alias("embedding"))

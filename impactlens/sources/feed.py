@@ -97,3 +97,15 @@ def paper_card(papers: DataFrame, n_authors: int = 5, n_chars: int = 500) -> Dat
         C.remainder(F.col("authors"), n_authors).alias("more_authors"),
         C.shorten(C.text(F.col("abstract")), n_chars).alias("abstract"),
     )
+
+
+def from_flat_dataset(rows: DataFrame) -> DataFrame:
+    """The flat table form (comma-joined authors, one category, ISO date text, citations_<n>mo) to arrays and y<n>."""
+    horizons = {f"citations_{h}mo": f"y{h}" for h in (6, 12, 24)}
+    return rows.withColumns(
+        {
+            "authors": C.comma_list(F.col("authors")),
+            "categories": C.comma_list(F.col("categories")),
+            "published": C.iso_timestamp(F.col("published")),
+        }
+    ).withColumnsRenamed({old: new for old, new in horizons.items() if old in rows.columns})
