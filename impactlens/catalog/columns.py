@@ -104,7 +104,7 @@ def p10(spark, sf):
     return V.subscription_log(spark, sf).select("seq", email.alias("email"), C.valid_email(email).alias("valid"))
 
 
-@query("p11_labelled_only", f"WITH {V.LABELLED} SELECT count(*) AS n, sum(CASE WHEN y12 = 0 THEN 1 ELSE 0 END) AS n_zero, CAST(sum(y12) AS BIGINT) AS total FROM labelled")
+@query("p11_labelled_only", f"WITH {V.LABELLED} SELECT count(*) AS n, count(*) FILTER (y12 = 0) AS n_zero, CAST(sum(y12) AS BIGINT) AS total FROM labelled")
 def p11(spark, sf):
     from impactlens.catalog.labels import works_table
 

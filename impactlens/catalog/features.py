@@ -119,7 +119,11 @@ def f10(spark, sf):
     return embeddings.missing_texts(keyed, cached).select("key")
 
 
-@query("f9_text_embeddings")
+@query(
+    "f9_text_embeddings",
+    f"""WITH {V.DOC_PAPERS} SELECT paper_id, 64 AS dim,
+  CASE WHEN regexp_matches(title || ' ' || abstract, '[\\p{{L}}\\p{{N}}_]{{2,}}') THEN 1.0::DOUBLE ELSE 0 END AS length FROM doc_papers""",
+)
 def f9(spark, sf):
     rows, _ = embeddings.embed_papers(V.doc_papers(spark, sf), lambda: embeddings.HashEncoder(64))
     return rows.select("paper_id", F.size("embedding").alias("dim"), F.round(C.norm(F.col("embedding")), 5).alias("length"))

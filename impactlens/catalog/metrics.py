@@ -79,9 +79,21 @@ def e5(spark, sf):
     return metrics.precision_at_k(V.ranked(spark, sf))
 
 
-@query("e_ranking_report")
+@query(
+    "e_ranking_report",
+    f"""WITH {V.RANKED}, {_NDCG.replace("@group", _WEEK)},
+r AS (
+  SELECT rank() OVER (ORDER BY y_true) + (count(*) OVER (PARTITION BY y_true) - 1) / 2.0 AS rt,
+         rank() OVER (ORDER BY y_pred) + (count(*) OVER (PARTITION BY y_pred) - 1) / 2.0 AS rp FROM ranked),
+top AS (SELECT row_number() OVER (ORDER BY y_pred DESC, paper_id) AS p, row_number() OVER (ORDER BY y_true DESC, paper_id) AS t FROM ranked)
+SELECT 'spearman_overall' AS metric, CAST(NULL AS INTEGER) AS k, round(corr(rt, rp), 9) AS value, 'ok' AS status FROM r
+UNION ALL SELECT 'ndcg', k, round(coalesce(avg(coalesce(dcg / nullif(ideal, 0), 0)) FILTER (n >= k), 0), 9),
+  CASE WHEN count(*) FILTER (n >= k) = 0 THEN 'no cohort' ELSE 'ok' END FROM per GROUP BY k
+UNION ALL SELECT 'precision', k, CASE WHEN (SELECT count(*) FROM ranked) >= k
+  THEN sum(CASE WHEN p <= k AND t <= k THEN 1 ELSE 0 END)::DOUBLE / k ELSE 0 END, 'ok' FROM top, k GROUP BY k""",
+)
 def report(spark, sf):
-    return metrics.ranking_report(_weekly(spark, sf))
+    return metrics.ranking_report(_weekly(spark, sf)).withColumn("value", F.round("value", 9))
 
 
 _E7 = {

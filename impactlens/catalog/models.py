@@ -165,19 +165,46 @@ def m8(spark, sf):
     return scored.select(F.avg("y12").alias("mean_label"), F.avg("prediction").alias("mean_prediction"), F.min("prediction").alias("least"))
 
 
-@query("m9_rolling_retrain")
+_CUTS = ("1998-01-01", "1998-04-01", "1998-07-01", "1998-10-01")
+_FIT_ERROR = """count(*) AS n, round(avg(abs(e)), 6) AS mae, round(1 - sum(e * e) / nullif(var_pop(y12) * count(*), 0), 6) AS r2"""
+
+
+@query(
+    "m9_rolling_retrain",
+    f"""WITH {V.LABELLED}, cuts AS (SELECT unnest([{", ".join(f"TIMESTAMP '{c}'" for c in _CUTS)}]) AS c),
+fits AS (SELECT c, count(*) AS n_train, regr_slope(y12, price) AS b, regr_intercept(y12, price) AS a FROM labelled JOIN cuts ON published < c GROUP BY 1),
+errors AS (SELECT c, n_train, y12, a + b * price - y12 AS e FROM labelled JOIN fits ON published >= c AND published < c + INTERVAL 3 MONTH)
+SELECT strftime(c, '%Y-%m-%d') AS cut, n_train, {_FIT_ERROR} FROM errors GROUP BY 1, 2""",
+)
 def m9(spark, sf):
-    rows = durable(labelled(spark, sf).withColumn("month", F.month("published")))
-    return training.rolling_retrain(rows, ["1998-01-01", "1998-04-01", "1998-07-01", "1998-10-01"], ["price", "month"])
+    out = training.rolling_retrain(durable(labelled(spark, sf)), _CUTS, ["price"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mae", "r2")})
 
 
-@query("m10_ablation")
+@query(
+    "m10_ablation",
+    f"""WITH {V.LABELLED}, t AS (SELECT *, epoch_us(published) AS s, month(published)::DOUBLE AS month FROM labelled),
+q AS (SELECT CAST(floor(quantile_cont(s, 0.7)) AS BIGINT) AS v, CAST(floor(quantile_cont(s, 0.8)) AS BIGINT) AS t FROM t),
+fit AS (
+  SELECT avg(y12) AS y, avg(price) AS p, avg(month) AS m, covar_pop(y12, price) AS yp, covar_pop(y12, month) AS ym, covar_pop(price, month) AS pm,
+    var_pop(price) AS pp, var_pop(month) AS mm FROM t, q WHERE s <= v),
+test AS (SELECT t.* FROM t, q WHERE s > q.t),
+errors AS (
+  SELECT 'price' AS features, y12, y + yp / pp * (price - p) - y12 AS e FROM test, fit
+  UNION ALL SELECT 'month', y12, y + ym / mm * (month - m) - y12 FROM test, fit
+  UNION ALL SELECT 'both', y12, y + ((yp * mm - ym * pm) * (price - p) + (ym * pp - yp * pm) * (month - m)) / (pp * mm - pm * pm) - y12 FROM test, fit)
+SELECT features, {_FIT_ERROR} FROM errors GROUP BY 1""",
+)
 def m10(spark, sf):
-    rows = labelled(spark, sf).withColumn("month", F.month("published"))
-    return training.ablation(rows, {"price": ["price"], "month": ["month"], "both": ["price", "month"]})
+    rows = durable(labelled(spark, sf).withColumn("month", F.month("published")))
+    out = training.ablation(rows, {"price": ["price"], "month": ["month"], "both": ["price", "month"]})
+    return out.withColumns({c: F.round(c, 6) for c in ("mae", "r2")})
 
 
-@query("x1_background_sample")
+@query(
+    "x1_background_sample",
+    f"WITH {V.PAPERS} SELECT paper_id, title, price FROM papers ORDER BY sha256(CAST(paper_id AS VARCHAR)), paper_id LIMIT 100",
+)
 def x1(spark, sf):
     return explain.background_sample(V.papers(spark, sf)).select("paper_id", "title", "price")
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from impactlens.operators.skew import count_keys, spread_join
+from impactlens.storage import durable
+
 # Papers above this many authors are paired block by block, so that one task never holds
 # more than two blocks of a paper.
 BLOCK = 512
@@ -34,8 +37,9 @@ def incidence(authors: DataFrame, cutoff: str | None = None) -> DataFrame:
     written out for it.
     """
     rows = authors.filter(before_cutoff(cutoff)).select("paper_id", "author")
-    sizes = rows.groupBy("paper_id").agg(F.count(F.lit(1)).cast("int").alias("n_authors")).filter("n_authors >= 2")
-    return rows.join(sizes, "paper_id")
+    sizes = durable(count_keys(rows, "paper_id").filter("cnt >= 2"))
+    numbered = sizes.select("paper_id", F.col("cnt").cast("int").alias("n_authors"))
+    return spread_join(rows, numbered, "paper_id", counts=sizes)
 
 
 def author_pairs(inc: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -14,8 +14,8 @@ from impactlens.storage import new_path
 
 
 def background_sample(df: DataFrame, n: int = 100, key: str = "paper_id") -> DataFrame:
-    """A repeatable sample of n rows, for explaining against."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    """A repeatable sample of n rows, for explaining against: the smallest hashes of the id."""
+    return df.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
 
 
 def linear_attributions(df: DataFrame, weights: Sequence[float], means: Sequence[float], features: str = "x") -> DataFrame:

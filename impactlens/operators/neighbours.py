@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from impactlens.functions import columns as C
 from impactlens.operators.ordering import ordered_counts
+from impactlens.operators.skew import spread_join, spread_join_on
 from impactlens.storage import durable
 
 PIVOTS = 256
@@ -160,7 +161,7 @@ def neighbour_statistics(
     weight = F.exp(-F.greatest(days, F.lit(0)) / F.lit(tau_days))
     # a paper has at most k neighbours, so an exact median per paper is small
     return (
-        neighbours.select("paper_id", "neighbour").join(own, "paper_id").join(theirs, "neighbour")
+        spread_join(neighbours.select("paper_id", "neighbour").join(own, "paper_id"), theirs, "neighbour")
         .withColumn("_w", weight)
         .groupBy("paper_id")
         .agg(
@@ -177,7 +178,7 @@ def neighbour_growth(neighbours: DataFrame, yearly: DataFrame) -> DataFrame:
     """(paper_id, growth_slope): slope over years of the citations the neighbours got per year."""
     theirs = yearly.select(F.col("paper_id").alias("neighbour"), "year", "cited_by_count")
     per_year = (
-        neighbours.select("paper_id", "neighbour").join(theirs, "neighbour")
+        spread_join(neighbours.select("paper_id", "neighbour"), theirs, "neighbour")
         .groupBy("paper_id", "year").agg(F.sum("cited_by_count").cast("double").alias("c"))
     )
     slope = F.covar_pop(F.col("year").cast("double"), F.col("c")) / F.nullif(F.var_pop("year"), F.lit(0.0))
@@ -195,10 +196,11 @@ def impact_proximity(papers: DataFrame, top_share: float = 0.1) -> DataFrame:
     unit = F.transform("embedding", lambda x: x.cast("double") / F.nullif(C.norm(F.col("embedding")), F.lit(0.0)))
     rows = durable(papers.dropna(subset=["primary_cat", "pub_year"]).withColumn("_unit", unit))
     counts = ordered_counts(rows, "cites", ("primary_cat", "pub_year"))
+    sizes = durable(counts.groupBy("primary_cat", "pub_year").agg(F.first("total").alias("cnt")))
     leading = counts.filter((F.col("total") - F.col("before") - F.col("cnt")) < F.col("total") * top_share)
     bar = leading.groupBy("primary_cat", "pub_year").agg(F.min("cites").alias("_bar"))
     marked = durable(
-        rows.join(bar, ["primary_cat", "pub_year"], "left").withColumn("candidate", F.coalesce(F.col("cites") >= F.col("_bar"), F.lit(False)))
+        spread_join_on(rows, bar, ["primary_cat", "pub_year"], "left", sizes).withColumn("candidate", F.coalesce(F.col("cites") >= F.col("_bar"), F.lit(False)))
     )
     # one row per field, year and dimension
     sums = (
@@ -215,7 +217,7 @@ def impact_proximity(papers: DataFrame, top_share: float = 0.1) -> DataFrame:
         .groupBy("primary_cat", "pub_year")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.expr("s / m")))), lambda t: t["col2"]).alias("_mean"))
     )
-    means = marked.join(history, ["primary_cat", "pub_year"]).select(
+    means = spread_join_on(marked, history, ["primary_cat", "pub_year"], counts=sizes).select(
         "paper_id", C.dot(F.col("_unit"), F.col("_mean")).alias("mean_similarity")
     )
     fields = [r[0] for r in marked.select("primary_cat").distinct().orderBy("primary_cat").limit(MAX_FIELDS + 1).collect()]

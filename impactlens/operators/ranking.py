@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from impactlens.operators.ordering import with_average_rank
 
 
+# Lists longer than this are taken from the full ranking.
+MAX_COUNTED = 100_000
+
+
 def impact_rank(df: DataFrame, score: str = "predicted_citations") -> DataFrame:
     """Every paper with impact_rank (1 is best, ties averaged) and impact_percentile."""
     ranked = with_average_rank(df, score, "impact_rank", descending=True)
@@ -20,6 +24,8 @@ def top_by_impact(df: DataFrame, k: int = 50, score: str = "predicted_citations"
     above the k-th need counting, and there are at most k of them.
     """
     scored = df.filter(F.col(score).isNotNull())
+    if k > MAX_COUNTED:
+        return impact_rank(scored, score).orderBy("impact_rank", key).limit(k)
     top = scored.orderBy(F.desc(score), key).limit(k)
     leading = top.select(score).distinct()
     counts = scored.join(F.broadcast(leading), score, "left_semi").groupBy(score).agg(F.count(F.lit(1)).alias("_cnt"))

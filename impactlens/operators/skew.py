@@ -59,6 +59,21 @@ def fan_out(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot")
     )
 
 
+def spread_join_on(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, **limits
+) -> DataFrame:
+    """spread_join on several keys. The right side must have no null keys (they would match nulls)."""
+    packed = F.struct(*keys).alias("_key")
+    return spread_join(
+        left.select("*", packed),
+        right.select(packed, *[c for c in right.columns if c not in keys]),
+        "_key",
+        how,
+        None if counts is None else counts.select(packed, "cnt"),
+        **limits,
+    ).drop("_key")
+
+
 def slot_keys(hot: DataFrame | None, key: str, slot: str = "_slot") -> list[str]:
     return [key] if hot is None else [key, slot]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from impactlens.functions import columns as C
+from impactlens.operators.skew import spread_join
 from impactlens.storage import durable
 
 SLICES = 64
@@ -28,8 +29,13 @@ def fold(events: DataFrame) -> DataFrame:
     address with very many events costs no more than others.
     """
     events = durable(events.select("email", "action", F.struct("at", "seq").alias("_when")))
-    last = events.groupBy("email").agg(F.max(F.when(F.col("action") == "unsubscribe", F.col("_when"))).alias("_last"))
-    later = events.join(last.filter(F.col("_last").isNotNull()), "email", "left").filter(
+    last = durable(
+        events.groupBy("email").agg(
+            F.max(F.when(F.col("action") == "unsubscribe", F.col("_when"))).alias("_last"), F.count(F.lit(1)).alias("cnt")
+        )
+    )
+    ended = last.filter(F.col("_last").isNotNull()).drop("cnt")
+    later = spread_join(events, ended, "email", "left", counts=last).filter(
         (F.col("action") == "subscribe") & (F.col("_last").isNull() | (F.col("_when") > F.col("_last")))
     )
     first = later.groupBy("email").agg(F.min("_when").alias("_first"))

@@ -197,11 +197,11 @@ def hurdle(train_rows: DataFrame, label: str = "y12", features: str = "features"
     return score
 
 
-def linear_on(columns: Sequence[str], label: str = "y12") -> Pipeline:
+def linear_on(columns: Sequence[str], label: str = "y12", penalty: float = 0.0) -> Pipeline:
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep"),
-            LinearRegression(labelCol=label, featuresCol="_x", predictionCol="y_pred", regParam=0.01, solver="normal"),
+            LinearRegression(labelCol=label, featuresCol="_x", predictionCol="y_pred", regParam=penalty, solver="normal"),
         ]
     )
 
@@ -220,7 +220,7 @@ def rolling_retrain(papers: DataFrame, cuts: Sequence[str], columns: Sequence[st
                 F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"),
                 (1 - F.sum(error * error) / F.nullif(F.var_pop(label) * F.count(F.lit(1)), F.lit(0.0))).alias("r2"),
             )
-            .select(F.lit(cut).alias("cut"), F.lit(before.count()).alias("n_train"), "n", "mae", "r2")
+            .select(F.lit(cut).alias("cut"), F.lit(before.count()).cast("long").alias("n_train"), "n", "mae", "r2")
         )
         out = row if out is None else out.unionByName(row)
     return out

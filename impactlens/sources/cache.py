@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from impactlens.operators.skew import spread_join
+
 
 def misses(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     """Each uncached key once, with one deterministic representative of its request."""
@@ -14,7 +16,7 @@ def misses(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame
 
 def hits(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
     """Requests answered from the cache. An entry without a readable payload is a miss."""
-    return requests.join(cache.filter(F.col("payload").isNotNull()).select(key, "payload"), key)
+    return spread_join(requests, cache.filter(F.col("payload").isNotNull()).select(key, "payload"), key)
 
 
 def append(computed: DataFrame, path: str, namespace: str) -> None:
