@@ -212,7 +212,7 @@ def s10(spark, sf):
     return tables.newest_week(V.ranked(spark, sf)).select("paper_id", "published", "y_pred")
 
 
-@query("s6_work_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("s4_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def props(spark, sf):
     parsed = F.from_json("props", "k BIGINT")["k"]
     return V.table(spark, sf, "events").select("event_id", parsed.alias("k"))

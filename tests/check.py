@@ -26,11 +26,9 @@ def _plain(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(v + 0.0) if v != int(v) or abs(v) > 2**53 else repr(float(int(v)))
+        return repr(v + 0.0)
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, int):
-        return repr(float(v)) if False else str(v)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):

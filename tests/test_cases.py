@@ -298,3 +298,30 @@ def test_flat_dataset(spark):
     rows = spark.createDataFrame([("A, B", "cs.AI", "2020-01-02T00:00:00", 3)], "authors STRING, categories STRING, published STRING, citations_12mo INT")
     r = feed.from_flat_dataset(rows).first()
     assert r["authors"] == ["A", "B"] and r["y12"] == 3 and r["published"] == dt.datetime(2020, 1, 2)
+
+
+class StubContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class StubSession:
+    def __init__(self, context, setting=None):
+        self.sparkContext, self.conf = context, {"spark.checkpoint.dir": setting}
+
+
+def test_shared_folder_comes_from_the_session():
+    from impactlens.storage import shared_dir
+
+    cluster = StubSession(StubContext("yarn"), "hdfs:///shared")
+    assert shared_dir(cluster) == "hdfs:///shared" == cluster.sparkContext.folder
+    with pytest.raises(RuntimeError):
+        shared_dir(StubSession(StubContext("yarn")))
+    local = StubSession(StubContext("local[2]"))
+    assert shared_dir(local) == local.sparkContext.folder

@@ -212,3 +212,19 @@ def test_cache_stream_computes_each_key_once(spark):
         stream = spark.readStream.schema("key STRING, text STRING").parquet(land)
         jobs.fill_cache(stream, lambda b: b.select("key", F.length("text").cast("string").alias("payload")), out, ck).awaitTermination()
     assert sorted((r["key"], r["payload"], r["batch"]) for r in spark.read.parquet(out).collect()) == [("k1", "4", 0), ("k2", "4", 0), ("k3", "4", 1)]
+
+
+def test_transformer_and_graph_features_over_two_horizons(papers):
+    from impactlens.operators.embeddings import HashEncoder, embed_papers
+    from impactlens.operators.graph_features import FEATURES
+
+    vectors, _ = embed_papers(papers, lambda: HashEncoder(4))
+    rows = papers.join(vectors, "paper_id").withColumns({f: (F.col("paper_id") % 7).cast("double") for f in FEATURES})
+    made, report = training.train(
+        rows.withColumn("y24", F.col("y12") * 2), {12: "y12", 24: "y24"}, "transformer", graph=True, max_iter=2, max_depth=2
+    )
+    assert made.feature_names[:4] == [f"text_emb_{i}" for i in range(4)] and made.feature_names[-10:] == FEATURES
+    assert set(made.models) == {12, 24} and {"mae_12", "spearman_24"} <= set(report)
+    assert training.predict(rows, made, 24).count() == 240
+    with pytest.raises(ValueError):
+        training.train(rows, text_encoder="unknown")
