@@ -78,7 +78,9 @@ def ndcg_per_group(
     got = _dcg(rows, groups, pred, truth, k_values, "_dcg")
     ideal = _dcg(rows, groups, truth, truth, k_values, "_ideal")
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min(truth).cast("double").alias("min_truth"))
-    joined = sizes.join(got, groups).join(ideal, groups)
+    # one row per group from each of the three: stacked and folded, a single group needs no join either
+    stacked = sizes.unionByName(got, allowMissingColumns=True).unionByName(ideal, allowMissingColumns=True)
+    joined = stacked.groupBy(*groups).agg(*[F.max(c).alias(c) for c in stacked.columns if c not in groups])
     per_k = F.explode(
         F.array(
             *[
