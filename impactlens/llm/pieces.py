@@ -21,7 +21,7 @@ from impactlens.llm.columns import schema_of, text_of
 from impactlens.llm.vocabulary import SPACE, vocabulary
 
 # Entries of a Python worker's memories of units and of pairs; a full one is emptied, results do not change.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 class Encoder(dict):
