@@ -89,10 +89,8 @@ def _in_order(spans: Column) -> Column:
 
 def _transitions(tokens: DataFrame) -> DataFrame:
     """(random, a, b, cnt) of neighbouring ASCII characters in (random, token) rows."""
-    chars = F.split("token", "")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.char_length("token") - 1), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1))
-    )
+    chars, rest = F.split("token", ""), F.char_length("token") - 1
+    pairs = F.zip_with(F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda a, b: F.concat(a, b))
     rows = tokens.filter(F.char_length("token") > 1).select("random", F.explode(pairs).alias("pair"))
     code = F.ascii("pair").alias("a"), F.ascii(F.substring("pair", 2, 1)).alias("b")
     return rows.select("random", *code).filter("a < 128 AND b < 128").groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
