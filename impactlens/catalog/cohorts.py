@@ -45,6 +45,20 @@ def w4(spark, sf):
     return ranked.select("paper_id", "y_pred", "impact_rank", F.round("impact_percentile", 9).alias("impact_percentile"))
 
 
+@query(
+    "w4_w6_rank_with_unscored",
+    f"""WITH {V.RANKED}, partly AS (SELECT paper_id, CASE WHEN paper_id % 5 <> 0 THEN y_pred END AS y_pred FROM ranked), ranks AS (
+  SELECT *, CASE WHEN y_pred IS NOT NULL THEN CAST(rank() OVER (ORDER BY y_pred DESC NULLS LAST) + (count(*) OVER (PARTITION BY y_pred) - 1) / 2.0 AS DOUBLE) END AS impact_rank,
+    count(*) OVER () AS n FROM partly)
+SELECT paper_id, impact_rank, {_PERCENTILE} FROM ranks""",
+)
+def w4_unscored(spark, sf):
+    """Papers without a score have no rank, and count in the percentile of the others."""
+    some = V.ranked(spark, sf).withColumn("y_pred", F.when(F.col("paper_id") % 5 != 0, F.col("y_pred")))
+    ranked = ranking.impact_rank(durable(some.select("paper_id", "y_pred")), "y_pred")
+    return ranked.select("paper_id", "impact_rank", F.round("impact_percentile", 9).alias("impact_percentile"))
+
+
 @query(
     "w5_top_by_impact",
     f"""WITH {_RANKS} SELECT paper_id, title, primary_cat, y_pred AS predicted_citations, impact_rank, {_PERCENTILE}

@@ -104,6 +104,29 @@ def p10(spark, sf):
     return V.subscription_log(spark, sf).select("seq", email.alias("email"), C.valid_email(email).alias("valid"))
 
 
+_SCRIPT_SPACE = "\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+
+
+@query(
+    "p10_script_spaces",
+    f"""WITH odd AS (SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN chr(65279) || 'A' || user_id || '@x.org' WHEN 1 THEN 'a' || chr(160) || user_id || '@x.org'
+    WHEN 2 THEN 'a' || user_id || '@x.o' || chr(133) || 'g' || chr(160) ELSE 'a' || user_id || '@x.org' || chr(8233) END AS raw FROM events),
+  trimmed AS (SELECT seq, lower(regexp_replace(raw, '^[{_SCRIPT_SPACE}]+|[{_SCRIPT_SPACE}]+$', '', 'g')) AS email FROM odd)
+SELECT seq, email, regexp_matches(email, '^[^{_SCRIPT_SPACE}@]+@[^{_SCRIPT_SPACE}@]+\\.[^{_SCRIPT_SPACE}@]+$') AS valid FROM trimmed""",
+)
+def p10_spaces(spark, sf):
+    """Spaces of scripts: stripped at the ends, refused inside; other control characters are ordinary."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_id") % 4
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("\ufeffA"), user, F.lit("@x.org")))
+        .when(kind == 1, F.concat(F.lit("a\u00a0"), user, F.lit("@x.org")))
+        .when(kind == 2, F.concat(F.lit("a"), user, F.lit("@x.o\u0085g\u00a0")))
+        .otherwise(F.concat(F.lit("a"), user, F.lit("@x.org\u2029")))
+    )
+    email = C.normalise_email(raw)
+    return V.table(spark, sf, "events").select(F.col("event_id").alias("seq"), email.alias("email"), C.valid_email(email).alias("valid"))
+
+
 @query("p11_labelled_only", f"WITH {V.LABELLED} SELECT count(*) AS n, count(*) FILTER (y12 = 0) AS n_zero, CAST(sum(y12) AS BIGINT) AS total FROM labelled")
 def p11(spark, sf):
     from impactlens.catalog.labels import works_table

@@ -29,7 +29,7 @@ vocab AS (
 )
 def f1_vocabulary(spark, sf):
     papers = V.doc_papers(spark, sf)
-    vocab = text_features.vocabulary(text_features.term_counts(papers), papers.count())
+    vocab = text_features.vocabulary(papers)
     return vocab.withColumn("idf", F.round("idf", 9))
 
 
@@ -42,7 +42,7 @@ def f1(spark, sf):
     return text_features.tfidf(V.doc_papers(spark, sf)).withColumn("weight", F.round("weight", 9))
 
 
-@query("f2_f4_f7_text_svd")
+@query("f2_f4_f7_text_svd", "SELECT doc_id AS paper_id, 24 AS width, TRUE AS within_unit_ball FROM documents")
 def f2(spark, sf):
     """Embedding width and length per document; min_df prunes everything and falls back."""
     papers = V.doc_papers(spark, sf)
@@ -92,7 +92,7 @@ def f6(spark, sf):
     return n.select("paper_id", F.round(F.col("n_authors") / F.lit(scale), 9).alias("n_authors_scaled"))
 
 
-@query("f5_f8_p13_assembled_features")
+@query("f5_f8_p13_assembled_features", "SELECT o_orderkey AS paper_id, TRUE AS width_ok, TRUE AS slots_ok FROM orders")
 def f8(spark, sf):
     """Width and names of the assembled metadata vector agree; one slot per category of each column is set."""
     papers = feed.dataset_columns(V.papers(spark, sf).withColumn("authors", F.array("title")))
@@ -290,17 +290,24 @@ def a14(spark, sf):
     return signals.institution_diversity(rows).withColumn("institution_diversity", F.round("institution_diversity", 9))
 
 
-_STANDING = f"""{V.AUTHORS}, {_CITES}, prior AS (
-  SELECT author, coalesce(cites, 0) AS cites FROM authors JOIN orders ON o_orderkey = authors.paper_id LEFT JOIN cites ON cites.paper_id = authors.paper_id
+_STANDING = f"""{V.AUTHORS},
+known AS (SELECT l_orderkey AS paper_id, CAST(sum(l_quantity) AS BIGINT) AS cites FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1),
+prior AS (
+  SELECT author, coalesce(cites, 0) AS cites FROM authors JOIN orders ON o_orderkey = authors.paper_id LEFT JOIN known ON known.paper_id = authors.paper_id
   WHERE o_orderdate < TIMESTAMP '2000-01-01'),
 r AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY cites DESC) AS rk FROM prior),
 standing AS (
   SELECT author, count(*) AS prior_papers, CAST(sum(cites) AS BIGINT) AS prior_cites, max(CASE WHEN cites >= rk THEN rk ELSE 0 END) AS h_index FROM r GROUP BY 1)"""
 
 
+_EARLY_EDGES = V.EDGES.replace(
+    "FROM authors a JOIN", "FROM authors a JOIN orders o ON o.o_orderkey = a.paper_id AND o.o_orderdate <= TIMESTAMP '2000-01-01' JOIN"
+)
+
+
 @query("a13_author_standing", f"WITH {_STANDING} SELECT author, prior_papers, prior_cites, h_index FROM standing")
 def a13(spark, sf):
-    return signals.author_standing(V.authors(spark, sf), _cites(spark, sf), "2000-01-01")
+    return signals.author_standing(V.authors(spark, sf), V.yearly(spark, sf), "2000-01-01")
 
 
 @query(
@@ -317,14 +324,14 @@ def a16(spark, sf):
 
 @query(
     "g8_expert_proximity",
-    f"""WITH {_STANDING}, {V.EDGES}, experts AS (SELECT author FROM standing ORDER BY h_index DESC, prior_cites DESC, author LIMIT 20),
+    f"""WITH {_STANDING}, {_EARLY_EDGES}, experts AS (SELECT author FROM standing ORDER BY h_index DESC, prior_cites DESC, author LIMIT 20),
 d AS (SELECT src AS author, count(*) AS d FROM arcs GROUP BY 1),
 b AS (SELECT a.src AS author, e.src AS expert, count(*) AS b FROM arcs e JOIN experts ON experts.author = e.src JOIN arcs a ON a.dst = e.dst GROUP BY 1, 2)
 SELECT b.author, round(max(b::DOUBLE / (x.d + y.d - b)), 9) AS expert_proximity FROM b JOIN d x ON x.author = b.author JOIN d y ON y.author = b.expert GROUP BY 1""",
 )
 def g8(spark, sf):
     authors = durable(V.authors(spark, sf))
-    edges = durable(coauthors.coauthor_edges(coauthors.incidence(authors)))
-    experts = signals.top_experts(signals.author_standing(authors, _cites(spark, sf), "2000-01-01"), 20)
+    edges = durable(coauthors.coauthor_edges(coauthors.incidence(authors, "2000-01-01")))
+    experts = signals.top_experts(signals.author_standing(authors, V.yearly(spark, sf), "2000-01-01"), 20)
     out = signals.expert_proximity(coauthors.neighbours(edges), experts)
     return out.withColumn("expert_proximity", F.round("expert_proximity", 9))

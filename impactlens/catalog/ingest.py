@@ -148,6 +148,18 @@ def s6(spark, sf):
     return cache.misses(_requests(spark, sf), _cached(spark, sf))
 
 
+@query(
+    "s6_whole_requests",
+    """SELECT CAST(user_id AS VARCHAR) AS key, event_type, event_id FROM events
+WHERE event_type <> 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) = 1""",
+)
+def s6_whole(spark, sf):
+    """The representative of a key is one of its requests, not the least of each column."""
+    rows = V.table(spark, sf, "events").filter("event_type <> 'click'")
+    requests = rows.select(F.col("user_id").cast("string").alias("key"), "event_type", "event_id")
+    return cache.misses(requests, spark.createDataFrame([], "key STRING, payload STRING"))
+
+
 @query(
     "j7_cache_hits",
     f"""WITH {_CACHED} SELECT sha256(text) AS key, doc_id, CAST(c.n_chars AS VARCHAR) AS payload

@@ -42,6 +42,20 @@ def j2_long(spark, sf):
     return labelled(spark, sf).select("paper_id", "published", "y12")
 
 
+@query(
+    "j2_label_12m_copies",
+    f"""WITH {V.LABELLED}, copies AS (SELECT unnest([1, 2]) AS copy) SELECT paper_id, copy, y12 FROM labelled, copies
+WHERE copy = 1 OR paper_id % 3 = 0""",
+)
+def j2_copies(spark, sf):
+    """Copies of a paper and a smaller earlier row for a year change no label."""
+    papers, yearly = V.papers(spark, sf), V.yearly(spark, sf)
+    once = papers.withColumn("copy", F.lit(1))
+    twice = once.unionByName(papers.filter("paper_id % 3 = 0").withColumn("copy", F.lit(2)))
+    stale = yearly.withColumn("cited_by_count", F.col("cited_by_count") - 1).filter("paper_id % 2 = 0")
+    return labels.label_from_long_counts(twice, yearly.unionByName(stale), V.AS_OF).select("paper_id", "copy", "y12")
+
+
 def _horizon_sql(h: int) -> str:
     days = {6: 183, 12: 365, 24: 730}[h]
     spill = -(-h // 12)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The whitespace class of a full strip, the id prefix, the e-mail pattern.
+# The whitespace class of a full strip, the id prefix.
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 ID_PREFIX = "arXiv:"
-EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+# White space and pattern of an e-mail address as browsers' scripts have them.
+SCRIPT_SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+EMAIL_PATTERN = rf"^[^{SCRIPT_SPACE}@]+@[^{SCRIPT_SPACE}@]+\.[^{SCRIPT_SPACE}@]+\z"
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 ISO_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 DEFAULT_CATEGORY = "cs.LG"
@@ -77,7 +79,7 @@ def embedding_text(title: Column, abstract: Column) -> Column:
 
 
 def normalise_email(c: Column) -> Column:
-    return F.lower(F.regexp_replace(text(c), f"^{WHITESPACE}+|{WHITESPACE}+$", ""))
+    return F.lower(F.regexp_replace(text(c), rf"^[{SCRIPT_SPACE}]+|[{SCRIPT_SPACE}]+\z", ""))
 
 
 def valid_email(c: Column) -> Column:

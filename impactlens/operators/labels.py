@@ -69,16 +69,22 @@ def label_papers(
 def label_from_long_counts(
     papers: DataFrame, yearly: DataFrame, as_of: str, horizon: int = 12, name: str = "y12", key: str = "paper_id"
 ) -> DataFrame:
-    """As label_papers, straight from (key, year, cited_by_count) rows: the aggregate needs no arrays."""
-    ready = papers.filter(mature(F.col("published"), as_of, horizon))
-    first = F.year("published")
-    counted = F.col("year").between(first, first + ceil(horizon / 12))
+    """As label_papers, straight from (key, year, cited_by_count) rows: the aggregate needs no arrays.
+
+    Copies of a paper get the same label. Of several rows for one year the last by `entry` wins, if
+    there is such a column, else the one with the largest count.
+    """
+    ready = papers.filter(mature(F.col("published"), as_of, horizon)).withColumn("_first", F.year("published"))
+    order = F.struct("entry", "cited_by_count") if "entry" in yearly.columns else F.col("cited_by_count")
+    counted = F.col("year").between(F.col("_first"), F.col("_first") + ceil(horizon / 12))
     labels = (
-        yearly.join(ready.select(key, "published"), key)
-        .groupBy(key)
-        .agg(F.sum(F.when(counted, F.col("cited_by_count")).otherwise(0)).cast("long").alias(name))
+        yearly.join(ready.select(key, "_first").distinct(), key)
+        .groupBy(key, "_first", "year")  # the join has brought a key together: no further shuffle
+        .agg(F.max_by(F.coalesce("cited_by_count", F.lit(0)), order).alias("_c"))
+        .groupBy(key, "_first")
+        .agg(F.sum(F.when(counted, F.coalesce("_c", F.lit(0))).otherwise(0)).cast("long").alias(name))
     )
-    return ready.join(labels, key)
+    return ready.join(labels, [key, "_first"]).select(*papers.columns, name)
 
 
 def drop_unlabelled(df: DataFrame, name: str = "y12") -> DataFrame:

@@ -43,7 +43,8 @@ def nearest_older(
     n_pivots = max(k, min(pivots, rows.count() // block))
     oldest = rows.filter("candidate").orderBy("age", "paper_id").limit(n_pivots).collect()
     if not oldest:
-        return spark.createDataFrame([], "paper_id BIGINT, neighbour BIGINT, similarity DOUBLE, position INT")
+        kind = rows.schema["paper_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"paper_id {kind}, neighbour {kind}, similarity DOUBLE, position INT")
     centres = spark.sparkContext.broadcast((_unit([r["embedding"] for r in oldest]), np.array([r["age"] for r in oldest])))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

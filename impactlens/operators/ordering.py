@@ -1,8 +1,8 @@
 """Exact positions, ranks and quantiles without sorting a whole group in one task.
 
 Values are first counted per group, so ties, however many rows they cover, are a single counted
-row. Beyond a checked size the distinct values are cut into ranges at approximate quantiles;
-windows run inside one range, and per-range totals give the offset.
+row. The distinct values are dealt to sorted ranges of a size one task handles; windows run inside
+one range, and per-range totals give the offset. One path for every size and every orderable type.
 """
 
 from __future__ import annotations
@@ -11,21 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from impactlens.operators.skew import spread_join
+from impactlens.operators.skew import ROWS_PER_TASK, spread_join
 from impactlens.storage import durable
 
-RANGES = 256
-# Up to this many distinct (group, value) rows one window per group will do.
-SMALL = 100_000
-
 
 def ordered_counts(
     df: DataFrame,
     value: str,
     by: Sequence[str] = (),
     weight: str | None = None,
-    ranges: int = RANGES,
-    small: int = SMALL,
+    rows_per_range: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """(by..., value, cnt, before, total) per distinct non-null value.
 
@@ -36,17 +31,10 @@ def ordered_counts(
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = durable(df.dropna(subset=[*by, value]).groupBy(*by, value).agg(size.alias("cnt")))
     none = F.lit(0).cast("long")
-    if counts.count() <= small:
-        group = W.partitionBy(*by)
-        before = F.sum("cnt").over(group.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-        return counts.select(
-            *by, value, "cnt", F.coalesce(before, none).alias("before"), F.sum("cnt").over(group).alias("total")
-        )
-    number = F.col(value).cast("double")
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(counts.agg(F.percentile_approx(number, steps, 20 * ranges)).first()[0]))
-    ranged = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < number)))
-    # at most `ranges` rows per group reach these two windows
+    ranges = counts.count() // rows_per_range + 1
+    # the number of a range is its place in the order, and stays with the rows once they are durable
+    ranged = durable(counts.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id()))
+    # one row per group and range that holds it
     offsets = (
         ranged.groupBy(*by, "_range")
         .agg(F.sum("cnt").alias("_in"))

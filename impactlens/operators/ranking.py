@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from impactlens.operators.ordering import with_average_rank
 
 
-# Lists longer than this are taken from the full ranking.
-MAX_COUNTED = 100_000
-
-
 def impact_rank(df: DataFrame, score: str = "predicted_citations") -> DataFrame:
-    """Every paper with impact_rank (1 is best, ties averaged) and impact_percentile."""
-    ranked = with_average_rank(df, score, "impact_rank", descending=True)
+    """Every paper with impact_rank (1 is best, ties averaged) and impact_percentile.
+
+    A paper without a score has neither, but counts among those the percentile is taken over.
+    """
+    everyone = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ranked = with_average_rank(df, score, "impact_rank", descending=True).withColumn("total", everyone)
     return ranked.withColumn("impact_percentile", _percentile(F.col("total"))).drop("total")
 
 
@@ -24,18 +24,16 @@ def top_by_impact(df: DataFrame, k: int = 50, score: str = "predicted_citations"
     above the k-th need counting, and there are at most k of them.
     """
     scored = df.filter(F.col(score).isNotNull())
-    if k > MAX_COUNTED:
-        return impact_rank(scored, score).orderBy("impact_rank", key).limit(k)
     top = scored.orderBy(F.desc(score), key).limit(k)
     leading = top.select(score).distinct()
-    counts = scored.join(F.broadcast(leading), score, "left_semi").groupBy(score).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = scored.join(leading, score, "left_semi").groupBy(score).agg(F.count(F.lit(1)).alias("_cnt"))
     above = F.coalesce(
         F.sum("_cnt").over(W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
     ranks = counts.select(score, (above + (F.col("_cnt").cast("double") + 1) / 2).alias("impact_rank"))
-    total = scored.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        top.join(F.broadcast(ranks), score)
+        top.join(ranks, score)
         .withColumn("_n", total)
         .withColumn("impact_percentile", _percentile(F.col("_n")))
         .drop("_n")

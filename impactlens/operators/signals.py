@@ -32,13 +32,18 @@ def institution_diversity(rows: DataFrame, institution: str = "institution") ->
     )
 
 
-def author_standing(authors: DataFrame, cites: DataFrame, cutoff: str) -> DataFrame:
-    """(author, prior_papers, prior_cites, h_index) from papers published before the cutoff.
+def author_standing(authors: DataFrame, yearly: DataFrame, cutoff: str) -> DataFrame:
+    """(author, prior_papers, prior_cites, h_index) from papers published before the cutoff and the
+    citations of the years that had ended by then.
+
+    `yearly` is (paper_id, year, cited_by_count).
 
     h is the largest min(c, papers with at least c citations): counted values suffice, so an
     author with very many papers is not sorted in one task.
     """
     prior = authors.filter(F.col("published") < F.lit(cutoff).cast("timestamp_ntz"))
+    ended = yearly.filter(F.col("year") < F.year(F.lit(cutoff).cast("timestamp_ntz")))
+    cites = ended.groupBy("paper_id").agg(F.sum("cited_by_count").cast("long").alias("cites"))
     rows = prior.select("author", "paper_id").join(cites, "paper_id", "left").fillna(0, ["cites"])
     counts = ordered_counts(rows, "cites", ("author",))
     return counts.groupBy("author").agg(
@@ -71,12 +76,14 @@ def expert_proximity(neighbours: DataFrame, experts: DataFrame) -> DataFrame:
     Only authors sharing a co-author with an expert appear; the others are at 0.
     """
     sizes = durable(neighbours.groupBy("author").agg(F.count(F.lit(1)).alias("cnt")))
-    circle = neighbours.join(F.broadcast(experts), "author", "left_semi").select(F.col("author").alias("expert"), "neighbour")
+    circle = neighbours.join(experts, "author", "left_semi").select(F.col("author").alias("expert"), "neighbour")
     through = neighbours.select("neighbour", "author")
     shared = (
         spread_join(through, circle, "neighbour", counts=sizes.withColumnRenamed("author", "neighbour"))
         .groupBy("author", "expert").agg(F.count(F.lit(1)).alias("_both"))
     )
-    mine, theirs = sizes.withColumnRenamed("cnt", "_a"), sizes.select(F.col("author").alias("expert"), F.col("cnt").alias("_e"))
+    mine = sizes.withColumnRenamed("cnt", "_a")
+    # one row for each expert, as many as the caller asked for: few keys, so no shuffle by them
+    theirs = F.broadcast(sizes.join(experts, "author", "left_semi").select(F.col("author").alias("expert"), F.col("cnt").alias("_e")))
     overlap = F.col("_both") / (F.col("_a") + F.col("_e") - F.col("_both"))
     return shared.join(mine, "author").join(theirs, "expert").groupBy("author").agg(F.max(overlap).alias("expert_proximity"))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-# A key is hot above this share of all rows, so there are never more than 1/HOT_SHARE hot keys:
-# collecting and broadcasting their table is safe at any data size.
-HOT_SHARE = 1 / 128
-# Below this many rows a key is no problem for one task, whatever its share.
-HOT_ROWS = 200_000
+from impactlens.storage import new_path
+
+# Rows of one key a task takes on; a key with more is split into slots of about this size, at any
+# size of the table.
+ROWS_PER_TASK = 1_000_000
 
 
 def count_keys(df: DataFrame, key: str) -> DataFrame:
@@ -19,20 +16,18 @@ def count_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def hot_keys(
-    counts: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
-) -> DataFrame | None:
-    """(key, _slots) of the hot keys in a (key, cnt) table, or None if no key is hot."""
-    most = round(1 / share)
-    top = counts.filter(F.col(key).isNotNull()).orderBy(F.desc("cnt")).limit(most).select(key, "cnt").collect()
-    if not top or top[0]["cnt"] <= min_rows:
-        return None
-    limit = max(counts.agg(F.sum("cnt")).first()[0] * share, min_rows)
-    hot = [(r[key], ceil(r["cnt"] / limit)) for r in top if r["cnt"] > limit]
-    if not hot:
-        return None
-    schema = StructType([counts.schema[key], StructField("_slots", IntegerType())])
-    return counts.sparkSession.createDataFrame(hot, schema)
+def hot_keys(counts: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """(key, _slots) of the hot keys in a (key, cnt) table, or None if no key is hot.
+
+    It is written as a table, so that its size is known where it is joined: Spark broadcasts it below
+    spark.sql.autoBroadcastJoinThreshold and else joins it as any other table.
+    """
+    slots = F.ceil(F.col("cnt") / rows_per_task).cast("int").alias("_slots")
+    hot = counts.filter(F.col(key).isNotNull() & (F.col("cnt") > rows_per_task)).select(key, slots)
+    path = new_path(counts.sparkSession, "hot-keys")
+    hot.write.parquet(path)
+    hot = counts.sparkSession.read.schema(hot.schema).parquet(path)
+    return hot if hot.limit(1).count() else None
 
 
 def assign_slot(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot") -> DataFrame:
@@ -43,9 +38,10 @@ def assign_slot(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_sl
     if hot is None:
         return df
     others = [c for c in df.columns if c != key] or [key]
-    # a null key matches nothing wherever it lands, so those rows are spread as well
-    slots = F.when(F.col(key).isNull(), F.lit(round(1 / HOT_SHARE))).otherwise(F.coalesce(F.col("_slots"), F.lit(1)))
-    return df.join(F.broadcast(hot), key, "left").withColumn(slot, F.pmod(F.hash(*others), slots)).drop("_slots")
+    # a null key matches nothing wherever it lands, so those rows are spread over all partitions
+    spread = F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = F.when(F.col(key).isNull(), spread).otherwise(F.coalesce(F.col("_slots"), F.lit(1)))
+    return df.join(hot, key, "left").withColumn(slot, F.pmod(F.hash(*others), slots)).drop("_slots")
 
 
 def fan_out(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot") -> DataFrame:
@@ -53,7 +49,7 @@ def fan_out(df: DataFrame, hot: DataFrame | None, key: str, slot: str = "_slot")
     if hot is None:
         return df
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(hot, key, "left")
         .withColumn(slot, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slots"), F.lit(1)) - 1)))
         .drop("_slots")
     )
@@ -84,14 +80,13 @@ def spread_join(
     key: str,
     how: str = "inner",
     counts: DataFrame | None = None,
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Equi-join in which no task gets more than about `share` of all rows from one left key.
+    """Equi-join in which no task gets many more than `rows_per_task` rows of one left key.
 
     Every left row sits in exactly one slot and meets all right rows of its key there, so
     inner, left, left_semi and left_anti joins give the plain result. Pass `counts` (key, cnt) of
     the left side where they are known already; otherwise they are counted first.
     """
-    hot = hot_keys(count_keys(left, key) if counts is None else counts, key, share, min_rows)
+    hot = hot_keys(count_keys(left, key) if counts is None else counts, key, rows_per_task)
     return assign_slot(left, hot, key).join(fan_out(right, hot, key), slot_keys(hot, key), how).drop("_slot")

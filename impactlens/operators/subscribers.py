@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from impactlens.functions import columns as C
-from impactlens.operators.skew import spread_join
+from impactlens.operators.skew import ROWS_PER_TASK, spread_join
 from impactlens.storage import durable
 
-SLICES = 64
-
 
 def valid_events(log: DataFrame) -> DataFrame:
     """Events with a normalised, valid address."""
@@ -60,7 +58,7 @@ def active_list(log: DataFrame) -> DataFrame:
     return subscribers(log).select("email").orderBy("email")
 
 
-def unsubscribe_replies(log: DataFrame, slices: int = SLICES) -> DataFrame:
+def unsubscribe_replies(log: DataFrame, rows_per_slice: int = ROWS_PER_TASK) -> DataFrame:
     """(seq, email, at, reply): what each unsubscribe event answered, 'Unsubscribed' or 'Not found'.
 
     An address is active exactly if its previous event was a subscribe. The log is cut into time
@@ -69,9 +67,9 @@ def unsubscribe_replies(log: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     events = durable(valid_events(log).select("seq", "email", "action", "at"))
     at = F.unix_micros(F.col("at").cast("timestamp"))
-    steps = [i / slices for i in range(1, slices)]
-    cuts = sorted(set(events.agg(F.percentile_approx(at, steps, 10 * slices)).first()[0] or []))
-    sliced = events.withColumn("_slice", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < at)))
+    slices = events.count() // rows_per_slice + 1
+    # slices of the time line; the number of a slice is its place in it, and stays with the durable rows
+    sliced = durable(events.repartitionByRange(slices, at, "seq").withColumn("_slice", F.spark_partition_id()))
     ends = sliced.groupBy("email", "_slice").agg(F.max_by("action", F.struct("at", "seq")).alias("_end"))
     carried = ends.select(
         "email", "_slice", F.lag("_end").over(W.partitionBy("email").orderBy("_slice")).alias("_carried")

@@ -206,12 +206,17 @@ def linear_on(columns: Sequence[str], label: str = "y12", penalty: float = 0.0)
     )
 
 
-def rolling_retrain(papers: DataFrame, cuts: Sequence[str], columns: Sequence[str], label: str = "y12") -> DataFrame:
-    """(cut, n_train, n, mae, r2): retrain on everything before each quarter start, test on that quarter."""
+def rolling_retrain(
+    papers: DataFrame, cuts: Sequence[str], columns: Sequence[str], label: str = "y12", label_years: int = 1
+) -> DataFrame:
+    """(cut, n_train, n, mae, r2): retrain on what is known at each quarter start, test on that quarter.
+
+    Known are the papers whose labels, the year of publication and `label_years` after it, had ended.
+    """
     out = None
     for cut in cuts:  # a few dates, not data
         at = F.lit(cut).cast("timestamp_ntz")
-        before = papers.filter(F.col("published") < at)
+        before = papers.filter(F.year("published") + label_years < F.year(at))
         during = papers.filter((F.col("published") >= at) & (F.col("published") < at + F.expr("INTERVAL 3 MONTHS")))
         error = F.col("y_pred") - F.col(label)
         row = (

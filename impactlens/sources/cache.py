@@ -8,9 +8,10 @@ from impactlens.operators.skew import spread_join
 
 
 def misses(requests: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    """Each uncached key once, with one deterministic representative of its request."""
-    first = [F.min(c).alias(c) for c in requests.columns if c != key]
-    wanted = requests.groupBy(key).agg(*first) if first else requests.select(key).distinct()
+    """Each uncached key once, with one deterministic representative of its requests: the first in the order of the columns."""
+    others = [c for c in requests.columns if c != key]
+    first = requests.groupBy(key).agg(F.min(F.struct(*others)).alias("_first")) if others else None
+    wanted = first.select(key, "_first.*") if others else requests.select(key).distinct()
     return wanted.join(cache.filter(F.col("payload").isNotNull()).select(key), key, "left_anti")
 
 

@@ -26,9 +26,9 @@ def test_spread_join_equals_join(spark, how):
     _, left = skewed(spark)
     left = left.unionByName(spark.createDataFrame([(-1, None, 1)], "paper_id INT, k INT, v INT"))
     right = spark.createDataFrame([(i, f"r{j}") for i in range(0, 40) for j in range(i % 3)], "k INT, name STRING")
-    hot = skew.hot_keys(skew.count_keys(left, "k"), "k", min_rows=10)
+    hot = skew.hot_keys(skew.count_keys(left, "k"), "k", rows_per_task=10)
     assert 0 < hot.count() <= 128
-    got = skew.spread_join(left, right, "k", how, min_rows=10)
+    got = skew.spread_join(left, right, "k", how, rows_per_task=10)
     want = left.join(right, "k", how)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
@@ -36,25 +36,35 @@ def test_spread_join_equals_join(spark, how):
 
 def test_hot_rows_are_split(spark):
     _, left = skewed(spark)
-    hot = skew.hot_keys(skew.count_keys(left, "k"), "k", min_rows=50)
+    hot = skew.hot_keys(skew.count_keys(left, "k"), "k", rows_per_task=50)
     per_slot = skew.assign_slot(left, hot, "k").filter("k = 0").groupBy("_slot").count().collect()
     assert len(per_slot) > 10 and max(r["count"] for r in per_slot) < 200
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
+@pytest.mark.parametrize("rows_per_range", [9, 10**6])
 @pytest.mark.parametrize("by", [(), ("k",)])
-def test_ordered_counts(spark, by, small):
+def test_ordered_counts(spark, by, rows_per_range):
     rows, df = skewed(spark)
-    got = ordering.ordered_counts(df, "v", by, ranges=7, small=small).collect()
+    got = ordering.ordered_counts(df, "v", by, rows_per_range=rows_per_range).collect()
     groups = {g: [r[2] for r in rows if not by or r[1] == g] for g in ({r[1] for r in rows} if by else {None})}
     want = {(g, v): (vs.count(v), sum(x < v for x in vs), len(vs)) for g, vs in groups.items() for v in set(vs)}
     assert {(r["k"] if by else None, r["v"]): (r["cnt"], r["before"], r["total"]) for r in got} == want
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_quantiles_interpolate(spark, small):
+@pytest.mark.parametrize("kind", ["timestamp", "string", "date"])
+def test_ordered_counts_of_other_types(spark, kind):
+    _, df = skewed(spark)
+    made = {"string": F.concat(F.lit("v"), F.lpad("v", 3, "0")), "date": F.date_add(F.lit("2020-01-01"), F.col("v"))}
+    value = made.get(kind, F.timestamp_seconds(F.col("v")))
+    got = ordering.ordered_counts(df.withColumn("w", value), "w", rows_per_range=5).orderBy("w").collect()
+    want = ordering.ordered_counts(df, "v").orderBy("v").collect()
+    assert [(r["cnt"], r["before"], r["total"]) for r in got] == [(r["cnt"], r["before"], r["total"]) for r in want]
+
+
+@pytest.mark.parametrize("rows_per_range", [9, 10**6])
+def test_quantiles_interpolate(spark, rows_per_range):
     rows, df = skewed(spark)
-    got = {r["k"]: r for r in ordering.quantiles(df, "v", {"a": 0.1, "m": 0.5}, ("k",), ranges=5, small=small).collect()}
+    got = {r["k"]: r for r in ordering.quantiles(df, "v", {"a": 0.1, "m": 0.5}, ("k",), rows_per_range=rows_per_range).collect()}
     for k in {r[1] for r in rows}:
         values = [r[2] for r in rows if r[1] == k]
         assert got[k]["a"] == pytest.approx(np.percentile(values, 10)) and got[k]["m"] == pytest.approx(np.median(values))
@@ -87,7 +97,7 @@ def by_author(df, column):
 def split(request, monkeypatch):
     if request.param:
         plain = skew.hot_keys
-        monkeypatch.setattr(centrality, "hot_keys", lambda c, k: plain(c, k, share=1 / 200, min_rows=3))
+        monkeypatch.setattr(centrality, "hot_keys", lambda c, k: plain(c, k, rows_per_task=3))
     return request.param
 
 
@@ -167,8 +177,8 @@ def test_replies_do_not_depend_on_slices(spark):
         else:
             want[i] = "Unsubscribed" if who[i] in active else "Not found"
             active.discard(who[i])
-    for slices in (1, 5, 64):
-        assert {r["seq"]: r["reply"] for r in subscribers.unsubscribe_replies(log, slices).collect()} == want
+    for rows in (10**6, 20, 3):
+        assert {r["seq"]: r["reply"] for r in subscribers.unsubscribe_replies(log, rows).collect()} == want
     assert {r["email"] for r in subscribers.subscribers(log).collect()} == {f"u{w}@x.y" for w in active}
 
 
