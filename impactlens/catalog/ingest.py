@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from impactlens.catalog import views as V
 from impactlens.catalog.registry import query
 from impactlens.functions import columns as C
+from impactlens.plans import dataset
 from impactlens.sources import cache, feed, tables, works
 from impactlens.storage import new_path
 
@@ -191,6 +192,26 @@ def s7(spark, sf):
     return tables.write_dataset(labelled, new_path(spark, "dataset"))
 
 
+@query(
+    "s7_dataset_build",
+    f"""WITH {V.LABELLED} SELECT CAST(year(published) AS INTEGER) AS pub_year, count(*) AS n_rows FROM labelled
+WHERE primary_cat = 'BUILDING' AND published BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' GROUP BY 1""",
+)
+def s7_build(spark, sf):
+    """Feed entries and works to a labelled table by year, end to end."""
+    papers = V.papers(spark, sf)
+    feed_rows = papers.select(
+        F.concat(F.lit("arXiv:"), F.col("paper_id").cast("string"), F.lit("v1")).alias("paper_id"), "title", F.lit("").alias("abstract"),
+        "categories", F.array("title").alias("authors"),
+        F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"), F.lit(None).cast("string").alias("updated"),
+    )
+    counted = works.works_from_counts(V.yearly(spark, sf), "paper_id").withColumn("paper_key", F.col("paper_id").cast("string"))
+    found = counted.select("paper_key", F.concat(F.lit("W"), F.col("paper_key")).alias("work_id"), "counts_by_year")
+    return dataset.run(
+        feed_rows, found, new_path(spark, "built"), category="BUILDING", start="1996-01-01", end="1999-12-31", as_of=V.AS_OF
+    )
+
+
 @query(
     "s8_dataset_scan",
     """SELECT o_orderkey AS paper_id, o_orderdate AS published FROM orders

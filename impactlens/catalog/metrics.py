@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from impactlens.catalog import views as V
 from impactlens.catalog.registry import query
+from impactlens.functions import columns as C
 from impactlens.operators import cohorts, metrics
+from impactlens.operators.normalise import normalise_by_field
+from impactlens.storage import durable
 
 
 def _weekly(spark, sf):
@@ -125,6 +128,50 @@ def e8(spark, sf):
     return metrics.r_squared(V.ranked(spark, sf)).withColumn("r2", F.round("r2", 9))
 
 
+_FIELD_RANKED = f"""{V.RANKED}, f AS (
+  SELECT y_true / (CAST(median(y_true) OVER w AS DOUBLE) + 0.1::DOUBLE) AS y_true, y_pred / (CAST(median(y_true) OVER w AS DOUBLE) + 0.1::DOUBLE) AS y_pred
+  FROM ranked WINDOW w AS (PARTITION BY primary_cat, year(published))),
+r AS (
+  SELECT *, rank() OVER (ORDER BY round(y_true, 9)) + (count(*) OVER (PARTITION BY round(y_true, 9)) - 1) / 2.0 AS rt,
+    rank() OVER (ORDER BY round(y_pred, 9)) + (count(*) OVER (PARTITION BY round(y_pred, 9)) - 1) / 2.0 AS rp FROM f)"""
+
+
+@query(
+    "e8_field_normalised",
+    f"""WITH {_FIELD_RANKED} SELECT round(1 - sum((y_pred - y_true) * (y_pred - y_true)) / nullif(var_pop(y_true) * count(*), 0), 6) AS r2,
+  round(corr(rt, rp), 9) AS spearman FROM r""",
+)
+def e8_normalised(spark, sf):
+    """R squared and Spearman of truth and prediction, both over the median truth of field and year."""
+    rows = normalise_by_field(V.ranked(spark, sf).select("paper_id", "published", "primary_cat", "y_true", "y_pred"), "y_true")
+    scale = F.col("y_true_normalized") / F.nullif(F.col("y_true").cast("double"), F.lit(0.0))
+    rows = durable(rows.select(F.col("y_true_normalized").alias("y_true"), (F.col("y_pred") * scale).alias("y_pred")))
+    ranks = metrics.spearman(rows.select(F.round("y_true", 9).alias("y_true"), F.round("y_pred", 9).alias("y_pred")))
+    spearman = ranks.select("value").scalar()
+    return metrics.r_squared(rows).select(F.round("r2", 6).alias("r2"), F.round(spearman, 9).alias("spearman"))
+
+
+_NORM = "round(sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) * (1 + label * 0.01), 9)"
+
+
+@query(
+    "e9_norm_drift",
+    f"""WITH v AS (SELECT vec_id, {_NORM} AS v FROM embeddings), base AS (SELECT v FROM v WHERE vec_id % 2 = 0), cur AS (SELECT v FROM v WHERE vec_id % 2 = 1),
+edges AS (SELECT quantile_cont(v, [{", ".join(f"{i / 10}" for i in range(1, 10))}]) AS e FROM base),
+b AS (SELECT len(list_filter(e, lambda x: x < v)) AS bin, count(*) AS c FROM base, edges GROUP BY 1),
+q AS (SELECT len(list_filter(e, lambda x: x < v)) AS bin, count(*) AS c FROM cur, edges GROUP BY 1),
+s AS (SELECT greatest(coalesce(q.c, 0)::DOUBLE / (SELECT count(*) FROM cur), 0.0001) AS p,
+  greatest(coalesce(b.c, 0)::DOUBLE / (SELECT count(*) FROM base), 0.0001) AS q FROM b FULL JOIN q ON b.bin = q.bin)
+SELECT round(sum((p - q) * ln(p / q)), 6) AS psi FROM s""",
+)
+def e9_norms(spark, sf):
+    """Drift of the length of the embeddings between two halves of the papers."""
+    norm = F.round(C.norm(F.col("embedding")) * (1 + F.col("label") * 0.01), 9)
+    rows = V.table(spark, sf, "embeddings").select("vec_id", norm.alias("v"))
+    out = metrics.population_stability(rows.filter("vec_id % 2 = 0"), rows.filter("vec_id % 2 = 1"), "v")
+    return out.select(F.round("psi", 6).alias("psi"))
+
+
 @query(
     "e9_psi_drift",
     f"""WITH {V.PAPERS}, base AS (SELECT price FROM papers WHERE published < TIMESTAMP '1998-01-01'),

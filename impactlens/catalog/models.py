@@ -12,7 +12,7 @@ from impactlens.catalog.labels import labelled, works_table
 from impactlens.catalog.registry import query
 from impactlens.operators import cohorts, embeddings, explain, labels, metrics
 from impactlens.operators.text_features import TextFeaturizer
-from impactlens.plans import ranker, training
+from impactlens.plans import ranker, scoring, training
 from impactlens.storage import durable, new_path
 
 
@@ -108,6 +108,20 @@ def m5(spark, sf):
     return metrics.interval_coverage(rows).select("bin", F.col("coverage").between(0.4, 1.0).alias("plausible"))
 
 
+@query(
+    "s10_weekly_scoring",
+    f"""WITH {V.LABELLED} SELECT paper_id, primary_cat, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, TRUE AS in_order FROM labelled
+WHERE published >= (SELECT date_trunc('week', max(published)) FROM labelled)""",
+)
+def s10_scoring(spark, sf):
+    """The newest week forecast by a trained model, read back from the JSON it was written to."""
+    papers, made = _meta_trained(spark, sf)
+    path = new_path(spark, "weekly")
+    scoring.score_newest_week(papers, made, path)
+    rows = spark.read.schema("paper_id LONG, published STRING, primary_cat STRING, mean DOUBLE, q10 DOUBLE, q90 DOUBLE").json(path)
+    return rows.select("paper_id", "primary_cat", "published", (F.col("q10") <= F.col("q90")).alias("in_order"))
+
+
 @query(
     "m5_residual_quantiles",
     f"""WITH {V.RANKED}, r AS (SELECT primary_cat, y_true - y_pred AS r FROM ranked)
