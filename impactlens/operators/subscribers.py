@@ -19,13 +19,8 @@ def rejected_events(log: DataFrame) -> DataFrame:
     return log.withColumn("email", C.normalise_email(F.col("email"))).filter(~C.valid_email(F.col("email")))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(email, unsubscribed, created_at) per address in the events.
-
-    created_at is the first subscribe after the last unsubscribe, null if there is none;
-    `unsubscribed` tells whether an unsubscribe occurs at all. Two combinable aggregations: an
-    address with very many events costs no more than others.
-    """
+def _since_end(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(email, _last, cnt) of every address, and the events with the time of its last unsubscribe, `_last`."""
     events = durable(events.select("email", "action", F.struct("at", "seq").alias("_when")))
     last = durable(
         events.groupBy("email").agg(
@@ -33,20 +28,31 @@ def fold(events: DataFrame) -> DataFrame:
         )
     )
     ended = last.filter(F.col("_last").isNotNull()).drop("cnt")
-    later = spread_join(events, ended, "email", "left", counts=last).filter(
-        (F.col("action") == "subscribe") & (F.col("_last").isNull() | (F.col("_when") > F.col("_last")))
-    )
+    return last, spread_join(events, ended, "email", "left", counts=last)
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """(email, unsubscribed, created_at) per address in the events.
+
+    created_at is the first subscribe after the last unsubscribe, null if there is none;
+    `unsubscribed` tells whether an unsubscribe occurs at all. Two combinable aggregations: an
+    address with very many events costs no more than others.
+    """
+    last, dated = _since_end(events)
+    later = dated.filter((F.col("action") == "subscribe") & (F.col("_last").isNull() | (F.col("_when") > F.col("_last"))))
     first = later.groupBy("email").agg(F.min("_when").alias("_first"))
     return last.join(first, "email", "left").select(
         "email", F.col("_last").isNotNull().alias("unsubscribed"), F.col("_first.at").alias("created_at")
     )
 
 
-def merge(state: DataFrame, folded: DataFrame) -> DataFrame:
-    """(email, created_at) after a folded batch meets the state before it; null means inactive."""
-    before = state.select("email", F.col("created_at").alias("_before"))
-    kept = F.when(F.col("unsubscribed"), F.col("created_at")).otherwise(F.coalesce("_before", "created_at"))
-    return folded.join(before, "email", "left").select("email", kept.alias("created_at"))
+def open_events(events: DataFrame) -> DataFrame:
+    """The (email, action, at, seq) events that decide the state whatever comes later: the last
+    unsubscribe of each address and its subscribes after that."""
+    _, dated = _since_end(events)
+    after = F.col("_last").isNull() | (F.col("_when") > F.col("_last"))
+    kept = dated.filter(((F.col("action") == "subscribe") & after) | ((F.col("action") == "unsubscribe") & (F.col("_when") == F.col("_last"))))
+    return kept.select("email", "action", "_when.at", "_when.seq").distinct()
 
 
 def subscribers(log: DataFrame) -> DataFrame:

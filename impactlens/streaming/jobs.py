@@ -8,20 +8,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from impactlens.operators import subscribers
 
+CACHE = "key STRING, payload STRING"
+EVENTS = "email STRING, action STRING, at TIMESTAMP_NTZ, seq BIGINT"
 
-def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """The batches written so far (those before `before`, for a batch that is run again)."""
-    try:
-        found = spark.read.schema(f"{schema}, batch BIGINT").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, batch BIGINT")
-    return found if before is None else found.filter(F.col("batch") < before)
+
+def written_batches(spark: SparkSession, path: str, before: int | None = None) -> list[int]:
+    """Ids of the batches written in full so far (those before `before`, for a batch that is run again)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    found = []
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name.removeprefix("batch=")))
+    return sorted(b for b in found if before is None or b < before)
+
+
+def _read(spark: SparkSession, path: str, schema: str, batches: list[int]) -> DataFrame:
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/batch={b}" for b in batches])
 
 
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -46,26 +59,35 @@ def fill_cache(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _read(spark, path, "key STRING, payload STRING", batch_id)
+        known = _read(spark, path, CACHE, written_batches(spark, path, batch_id))
         wanted = batch.groupBy("key").agg(F.min("text").alias("text")).join(known.select("key"), "key", "left_anti")
         compute(wanted).select("key", "payload").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _run(stream, checkpoint, each)
 
 
-def current_subscribers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """(email, created_at): the newest entry of each address; null created_at is inactive."""
-    entries = _read(spark, path, "email STRING, created_at TIMESTAMP_NTZ", before)
-    return entries.groupBy("email").agg(F.max_by("created_at", "batch").alias("created_at"))
+def _open_events(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest snapshot: the events that can still matter."""
+    return _read(spark, path, EVENTS, written_batches(spark, path, before)[-1:])
+
+
+def current_subscribers(spark: SparkSession, path: str) -> DataFrame:
+    """(email, created_at) of every address seen; null created_at is inactive."""
+    return subscribers.fold(_open_events(spark, path)).select("email", "created_at")
 
 
 def keep_subscribers(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold each batch of events and append the addresses it touched; events must arrive in order
-    from batch to batch. The fold combines map-side, so one busy address does not hold up a batch."""
+    """Keep, for each address, its last unsubscribe and the subscribes after it, as one snapshot per batch.
+
+    Nothing older can matter again, and nothing else is needed: events may come late and in any
+    order. A batch reads the newest snapshot before it and no earlier ones. The last unsubscribe is
+    found map-side, so one busy address does not hold up a batch.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = current_subscribers(batch.sparkSession, path, batch_id)
-        folded = subscribers.fold(subscribers.valid_events(batch))
-        subscribers.merge(before, folded).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        new = subscribers.valid_events(batch).select("email", "action", F.col("at").cast("timestamp_ntz").alias("at"), "seq")
+        events = _open_events(spark, path, batch_id).unionByName(new)
+        subscribers.open_events(events).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _run(stream, checkpoint, each)

@@ -196,13 +196,21 @@ def test_streams_over_several_batches(spark):
     batches = [
         [("a@b.c", "subscribe", t[0], 1), ("x@y.z", "subscribe", t[1], 2), ("nobody", "subscribe", t[1], 9)],
         [("a@b.c", "subscribe", t[2], 3), ("x@y.z", "unsubscribe", t[3], 4)],
-        [("a@b.c", "unsubscribe", t[4], 5), ("a@b.c", "subscribe", t[5], 6)],
+        [("a@b.c", "unsubscribe", t[4], 5), ("a@b.c", "subscribe", t[5], 6), ("n@e.w", "unsubscribe", t[5], 13)],
+        # all late: before an unsubscribe that is known, or subscribing after it
+        [("x@y.z", "subscribe", t[2], 10), ("a@b.c", "unsubscribe", t[3], 12), ("n@e.w", "subscribe", t[4], 14), ("n@e.w", "subscribe", t[6], 15)],
     ]
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
         jobs.keep_subscribers(spark.readStream.schema(schema).parquet(land), out, ck).awaitTermination()
     got = {r["email"]: r["created_at"] for r in jobs.current_subscribers(spark, out).collect()}
-    assert got == {"a@b.c": t[5], "x@y.z": None}
+    assert got == {"a@b.c": t[5], "x@y.z": None, "n@e.w": t[6]}
+    assert jobs.written_batches(spark, out) == [0, 1, 2, 3] and jobs.written_batches(spark, out, 2) == [0, 1]
+    assert jobs.written_batches(spark, out + "-none") == []
+    # a retry of the last batch replaces it and changes nothing
+    again = spark.createDataFrame(batches[3], schema)
+    events = jobs._open_events(spark, out, 3).unionByName(jobs.subscribers.valid_events(again))
+    assert sorted(map(tuple, jobs.subscribers.open_events(events).collect())) == sorted(map(tuple, jobs._open_events(spark, out).collect()))
 
 
 def test_cache_stream_computes_each_key_once(spark):
