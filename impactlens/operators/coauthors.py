@@ -42,33 +42,33 @@ def incidence(authors: DataFrame, cutoff: str | None = None) -> DataFrame:
     return spread_join(rows, numbered, "paper_id", counts=sizes)
 
 
-def author_pairs(inc: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(paper_id, u, v) with u < v for every two authors of a paper.
+def block_pairs(rows: DataFrame, key: str, item: str, size: str, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, u, v, u_<column>, v_<column>) with u < v for every two items of a key.
 
-    Authors of a large paper are hashed into blocks and each pair of blocks is a join key of its
-    own, so the pairs of one paper are made by many tasks. Ordinary papers are one block.
+    `size` names the column with the number of items of the key. Items of a large key are hashed
+    into blocks and each pair of blocks is a join key of its own, so the pairs of one key are made
+    by many tasks. Ordinary keys are one block.
     """
-    blocks = F.ceil(F.col("n_authors") / block).cast("int")
     cells = (
-        inc.withColumn("_blocks", blocks)
-        .withColumn("_block", F.when(F.col("_blocks") == 1, 0).otherwise(F.pmod(F.hash("author"), F.col("_blocks"))))
+        rows.withColumn("_blocks", F.ceil(F.col(size) / block).cast("int"))
+        .withColumn("_block", F.when(F.col("_blocks") == 1, 0).otherwise(F.pmod(F.hash(item), F.col("_blocks"))))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(
-            "paper_id",
-            "author",
-            "_block",
-            F.least("_block", "_other").alias("_lo"),
-            F.greatest("_block", "_other").alias("_hi"),
-        )
+        .select(key, item, *carry, "_block", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"))
     )
     a, b = cells.alias("a"), cells.alias("b")
-    same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("paper_id", "_lo", "_hi")]
+    same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "_lo", "_hi")]
     once = (F.col("a._lo") == F.col("a._hi")) | (F.col("a._block") != F.col("b._block"))
-    return a.join(b, [*same_cell, F.col("a.author") < F.col("b.author"), once]).select(
-        F.col("a.paper_id").alias("paper_id"), F.col("a.author").alias("u"), F.col("b.author").alias("v")
+    return a.join(b, [*same_cell, F.col(f"a.{item}") < F.col(f"b.{item}"), once]).select(
+        F.col(f"a.{key}").alias(key), F.col(f"a.{item}").alias("u"), F.col(f"b.{item}").alias("v"),
+        *[F.col(f"{side}.{c}").alias(f"{end}_{c}") for c in carry for side, end in (("a", "u"), ("b", "v"))],
     )
 
 
+def author_pairs(inc: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(paper_id, u, v) with u < v for every two authors of a paper."""
+    return block_pairs(inc, "paper_id", "author", "n_authors", block)
+
+
 def coauthor_edges(inc: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v, weight): weight is the number of papers the two share."""
     return author_pairs(inc, block).groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight"))

@@ -137,6 +137,8 @@ def test_components_of_a_long_chain_close_fast(spark):
 def test_clustering_against_brute_force(spark):
     inc, w = random_graph(spark)
     got = by_author(centrality.clustering(coauthors.coauthor_edges(inc)), "clustering")
+    blocks = by_author(centrality.clustering(coauthors.coauthor_edges(inc), block=2), "clustering")
+    assert blocks == pytest.approx(got)
     v = np.cbrt(w / w.max())
     for a in np.flatnonzero(w.sum(1)):
         d = np.count_nonzero(w[a])
