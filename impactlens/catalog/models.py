@@ -130,8 +130,7 @@ FROM r GROUP BY GROUPING SETS ((), (primary_cat))""",
 )
 def m5_quantiles(spark, sf):
     found = training.residual_intervals(V.ranked(spark, sf))
-    rows = [(f, round(q[0], 6), round(q[1], 6)) for f, q in found.items()]
-    return spark.createDataFrame(rows, "field STRING, q10 DOUBLE, q90 DOUBLE")
+    return found.select(F.coalesce("field", F.lit("")).alias("field"), F.round("q10", 6).alias("q10"), F.round("q90", 6).alias("q90"))
 
 
 @query(

@@ -17,12 +17,14 @@ from impactlens.operators import meta_features as meta
 from impactlens.operators import metrics
 from impactlens.operators.embeddings import hybrid
 from impactlens.operators.ordering import quantiles
+from impactlens.operators.skew import spread_join
 from impactlens.operators.text_features import TextFeaturizer
 from impactlens.storage import durable
 
 TEXT_ENCODERS = ("tfidf", "transformer", "hybrid", "none")
 SEED = 42
 MIN_FIELD_RESIDUALS = 50
+INTERVALS = "field STRING, q10 DOUBLE, q90 DOUBLE, n LONG"
 
 
 def _seconds() -> Column:
@@ -52,8 +54,8 @@ class Artifacts:
     text_encoder: str = "tfidf"
     graph: bool = False
     feature_names: list[str] = field(default_factory=list)
-    # horizon -> field or "" for all -> [q10, q90] of the residuals
-    intervals: dict[int, dict[str, list[float]]] = field(default_factory=dict)
+    # horizon -> (field, q10, q90, n) of the residuals, a null field for all of them
+    intervals: dict[int, DataFrame] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.meta_encoder.write().overwrite().save(f"{path}/meta")
@@ -61,9 +63,11 @@ class Artifacts:
             self.text_model.write().overwrite().save(f"{path}/text")
         for h, model in self.models.items():
             model.write().overwrite().save(f"{path}/model-{h}")
+        for h, table in self.intervals.items():
+            table.write.mode("overwrite").parquet(f"{path}/intervals-{h}")
         config = {
             "horizons": list(self.models), "text_encoder": self.text_encoder, "graph": self.graph,
-            "feature_names": self.feature_names, "intervals": self.intervals, "has_text": self.text_model is not None,
+            "feature_names": self.feature_names, "intervals": list(self.intervals), "has_text": self.text_model is not None,
         }
         spark.createDataFrame([(json.dumps(config, default=str),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
@@ -77,7 +81,7 @@ class Artifacts:
             config["text_encoder"],
             config["graph"],
             config["feature_names"],
-            {int(h): v for h, v in config["intervals"].items()},
+            {h: spark.read.schema(INTERVALS).parquet(f"{path}/intervals-{h}") for h in config["intervals"]},
         )
 
     def features(self, papers: DataFrame) -> DataFrame:
@@ -98,12 +102,14 @@ def train(
     featurizer: TextFeaturizer | None = None,
     max_iter: int = 20,
     max_depth: int = 5,
+    least_residuals: int = MIN_FIELD_RESIDUALS,
 ) -> tuple[Artifacts, dict[str, float]]:
     """Fit one boosted-tree regressor per horizon (months -> label column) on shared features.
 
     `papers` carries title, abstract, primary_cat, month, n_authors, published, the labels, and
     `embedding` or the graph feature columns where asked for; "none" leaves text out. Encoders see
-    the training dates only.
+    the training dates only. A field with fewer than `least_residuals` held-out papers has the
+    interval of all of them.
     """
     if text_encoder not in TEXT_ENCODERS:
         raise ValueError(f"text_encoder must be one of {TEXT_ENCODERS}")
@@ -128,7 +134,7 @@ def train(
         scored = durable(
             made.models[h].transform(known.filter("split <> 'train'")).select("paper_id", "primary_cat", "split", F.col(label).alias("y_true"), F.col("prediction").alias("y_pred"))
         )
-        made.intervals[h] = residual_intervals(scored.filter("split = 'validation'"))
+        made.intervals[h] = residual_intervals(scored.filter("split = 'validation'"), least_residuals)
         report |= {f"{m}_{h}": v for m, v in regression_report(scored.filter("split = 'test'")).items()}
     return made, report
 
@@ -147,18 +153,15 @@ def regression_report(scored: DataFrame) -> dict[str, float]:
     }
 
 
-def residual_intervals(scored: DataFrame, least: int = MIN_FIELD_RESIDUALS) -> dict[str, list[float]]:
-    """10 % and 90 % points of truth - prediction on held-out rows, overall ("") and for each field
-    with enough of them."""
+def residual_intervals(scored: DataFrame, least: int = MIN_FIELD_RESIDUALS) -> DataFrame:
+    """(field, q10, q90, n): 10 % and 90 % points of truth - prediction on held-out rows, over all of
+    them (field null) and for each field with `least` of them. No rows without held-out rows."""
     rows = durable(scored.select("primary_cat", (F.col("y_true") - F.col("y_pred")).alias("r")))
     at = {"q10": 0.1, "q90": 0.9}
-    total = quantiles(rows, "r", at).first()
-    if total is None or total["q10"] is None:
-        return {}
-    found = {"": [total["q10"], total["q90"]]}
-    for r in quantiles(rows, "r", at, ("primary_cat",)).filter(F.col("n") >= least).collect():  # one row per field
-        found[r["primary_cat"]] = [r["q10"], r["q90"]]
-    return found
+    each = quantiles(rows, "r", at, ("primary_cat",)).filter(F.col("n") >= least)
+    total = quantiles(rows, "r", at).filter(F.col("q10").isNotNull()).withColumn("primary_cat", F.lit(None).cast("string"))
+    both = each.unionByName(total)
+    return durable(both.select(F.col("primary_cat").cast("string").alias("field"), "q10", "q90", F.col("n").cast("long").alias("n")))
 
 
 def predict(papers: DataFrame, artifacts: Artifacts, horizon: int | None = None) -> DataFrame:
@@ -168,17 +171,24 @@ def predict(papers: DataFrame, artifacts: Artifacts, horizon: int | None = None)
 
 
 def predict_with_uncertainty(papers: DataFrame, artifacts: Artifacts, horizon: int | None = None) -> DataFrame:
-    """(paper_id, primary_cat, mean, q10, q90): an 80 % interval; the bounds are null without held-out residuals."""
+    """papers with mean, q10, q90 and `interval`: an 80 % interval, and whether it is that of the
+    paper's 'field' or of 'all' papers; the three are null without held-out residuals."""
     h = horizon or next(iter(artifacts.models))
-    known = artifacts.intervals.get(h, {})
-
-    def bound(i: int) -> Column:
-        overall = F.lit(known[""][i] if known else None).cast("double")
-        fields = [x for f, q in known.items() if f for x in (F.lit(f), F.lit(q[i]))]
-        return F.coalesce(F.try_element_at(F.create_map(*fields), F.col("primary_cat")), overall) if fields else overall
-
     rows = predict(papers, artifacts, h).withColumnRenamed("prediction", "mean")
-    return rows.withColumns({"q10": F.col("mean") + bound(0), "q90": F.col("mean") + bound(1)})
+    none = rows.sparkSession.createDataFrame([], INTERVALS)
+    known = artifacts.intervals.get(h, none)
+    overall = known.filter("field IS NULL")
+    fields = known.filter("field IS NOT NULL").select(F.col("field").alias("primary_cat"), F.col("q10").alias("_q10"), F.col("q90").alias("_q90"))
+    # one row for each field: left to Spark's size checks, and split where a field is hot
+    joined = spread_join(rows, fields, "primary_cat", "left")
+
+    def bound(name: str) -> Column:
+        return F.col("mean") + F.coalesce(f"_{name}", F.col(f"_all_{name}"))
+
+    joined = joined.withColumns({f"_all_{q}": overall.agg(F.max(q)).scalar() for q in ("q10", "q90")})
+    kind = F.when(F.col("_q10").isNotNull(), "field").when(F.col("_all_q10").isNotNull(), "all")
+    out = joined.withColumns({"q10": bound("q10"), "q90": bound("q90"), "interval": kind})
+    return out.drop("_q10", "_q90", "_all_q10", "_all_q90")
 
 
 def hurdle(train_rows: DataFrame, label: str = "y12", features: str = "features") -> Callable[[DataFrame], DataFrame]:
