@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from impactlens.llm.columns import schema_of, text_of
 from impactlens.llm.vocabulary import SPACE, vocabulary
 
-# Entries of a Python worker's memories of units and of pairs; a full one is emptied, results do not change.
-REMEMBERED = 200_000
+# Units and pairs a Python worker remembers at most; what was not asked for lately goes first, results do not change.
+REMEMBERED = 500_000
+REMEMBERED_PAIRS = 300_000
 
 
 class Encoder(dict):
@@ -30,6 +31,7 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.vocabulary = v = vocabulary(path)
+        self.older: dict[str, bytes] = {}  # what was remembered before this dictionary last was full
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         # How each piece comes about: before every merge inside it, its rank and the first and last symbol.
@@ -42,6 +44,9 @@ class Encoder(dict):
         self.automaton.make_automaton()
 
     def __missing__(self, unit: str) -> bytes:
+        known = self.older.get(unit)
+        if known is not None:
+            return self.remember(unit, known)
         v, ids, at = self.vocabulary, [], 0
         for strange in v.strange.finditer(unit):
             ids += self.backtrack(unit[at : strange.start()])
@@ -49,10 +54,13 @@ class Encoder(dict):
             at = strange.end()
         ids += self.backtrack(unit[at:])
         data = np.array(ids, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        return self.remember(unit, data) if len(unit) <= 100 else data
+
+    def remember(self, unit: str, data: bytes) -> bytes:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
-        if len(unit) <= 100:
-            self[unit] = data
+        self[unit] = data
         return data
 
     def remerge(self, text: str) -> list[tuple[int, str, str]]:
@@ -87,13 +95,19 @@ class Encoder(dict):
                 j += 1
                 continue
             break
-        if len(self.pairs) >= REMEMBERED:
+        if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
         self.pairs[left, right] = known
         return known
 
     def backtrack(self, text: str) -> list[int]:
-        """The pieces of a text made of known characters only."""
+        """The pieces of a text made of known characters only.
+
+        Where the longest pieces from left to right all fit, they are what the search would take.
+        """
+        longest = [i for _, (i, _) in self.automaton.iter_long(text)]
+        if all(map(self.compatible, longest, longest[1:])):
+            return longest
         n = len(text)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (id, end), the longest last
         for last, (i, size) in self.automaton.iter(text):
@@ -176,6 +190,23 @@ def encode_texts(
     return given.mapInArrow(encode, schema_of(given, id="=id", ids="binary")).withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text) per row, as decode_texts(encode_texts(docs)) gives them, in one pass over the texts."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(model)
+        v = known.vocabulary
+        begin, end = (np.array([i], "<u4").tobytes() for i in (v.begin, v.end))
+        for batch in batches:
+            ids = [b"".join([begin, *map(known.__getitem__, v.units(t.as_py())), end]) for t in batch.column(1)]
+            texts = [decode_ids(x, model) for x in ids]
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "text"])
+
+    given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return given.mapInArrow(both, schema_of(given, id="=id", ids="binary", text="string")).withColumnRenamed("id", id_col)
+
+
 def decode_texts(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, text) per row, the text decoded from the ids; null ids give an empty text and stay null."""
 

@@ -119,8 +119,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded into pieces, and decoded again from them."""
-    encoded = pieces.encode_texts(table(spark, sf_dir, "documents"), PIECES)
-    decoded = pieces.decode_texts(encoded, PIECES)
+    decoded = pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

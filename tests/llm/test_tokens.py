@@ -88,6 +88,8 @@ def test_encoding_and_decoding_are_those_of_the_library(docs, texts, library):
         ids = library.encode(t or "", add_bos=True, add_eos=True)
         assert got[i] == (ids, library.decode(ids)), t
     assert pieces.decode_texts(encoded.limit(0), PIECES).count() == 0
+    once = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.text) for r in pieces.round_trip(docs, PIECES).collect()}
+    assert once == got and pieces.round_trip(docs.limit(0), PIECES).count() == 0
 
 
 def test_any_ids_decode_as_in_the_library(library):
