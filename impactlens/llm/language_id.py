@@ -23,7 +23,9 @@ from impactlens.llm.columns import text_of
 
 UNDECIDED = "und"
 # Bytes scored at once; a longer text is gone through in slices, each behind the bytes of its context.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
+# Texts lower-cased and encoded at once.
+TEXTS = 200
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -135,7 +137,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior, if all languages are as likely before; of equals the first by name."""
         known = [t if t is not None and self.languages and has_letter(t) else "" for t in texts]
-        lengths = self.code_lengths([t.lower().encode() for t in known])
+        parts = [self.code_lengths([t.lower().encode() for t in known[i : i + TEXTS]]) for i in range(0, len(known), TEXTS)]
+        lengths = np.concatenate([np.zeros((0, len(self.languages))), *parts])
         best = lengths.argmin(axis=1) if self.languages else np.zeros(len(texts), int)
         langs = [self.languages[b] if t else UNDECIDED for t, b in zip(known, best.tolist(), strict=True)]
         if not self.languages:
@@ -193,7 +196,10 @@ def fit(
 
 
 def predictor(docs: DataFrame, model: Model):
-    """A function of a text column that gives struct<lang_pred: string, score: double>."""
+    """A function of a text column that gives struct<lang_pred: string, score: double>.
+
+    It is declared as not deterministic, or a filter on its result would have Spark score every text twice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")
@@ -201,7 +207,7 @@ def predictor(docs: DataFrame, model: Model):
         langs, scores = shared.value.predict([None if t is None else t for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return predict
+    return predict.asNondeterministic()
 
 
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 4) -> Column:
