@@ -27,22 +27,29 @@ SEGMENTS = 32
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Lower-case A-Z, split at ASCII white space, and vote over the hashes of all word shingles."""
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """Lower-case A-Z, split at ASCII white space, and hash all word shingles, some at once; signed longs."""
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = np.r_[0, ends[:-1]].tolist()
     stops = (ends - 1).tolist()
-    votes, n = np.zeros(64, np.int64), max(1, len(parts) - words + 1)
+    n = max(1, len(parts) - words + 1)
     for low in range(0, n, AT_ONCE):
         high = min(n, low + AT_ONCE)
         last = stops[low + words - 1 : high + words - 1] if n > 1 or len(parts) >= words else [stops[-1]]
         shingles = map(joined.__getitem__, map(slice, starts[low:high], last))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", high - low)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", high - low).view("<i8")
+
+
+def fingerprint(text: str, words: int) -> int:
+    """The vote over the hashes of all word shingles; 0 if there is none."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, words):
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
@@ -142,16 +149,19 @@ def near_duplicates(
 
 
 def keep_one(
-    docs: DataFrame, words: int = 5, max_bits: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of `docs`, one of each component: the one with the smallest id, of repeated rows one.
+    """The rows of `docs`, one of each component of near copies: the one with the smallest id, of repeated rows one.
 
-    Of equal ids the text decides; a null id comes after all others.
+    Near copies are texts whose word shingles have a Jaccard similarity of `least` or more, all of them; the
+    fingerprints have no part in it. Of equal ids the text decides; a null id comes after all others.
     """
+    from impactlens.llm.near_copies import near_copies
+
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "dropped")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("at"))
     keyed = docs.withColumn("_key", order)
-    found = near_duplicates(keyed, words, max_bits, "_key", text_col)
+    found = near_copies(keyed, words, least, "_key", text_col)
     found.filter(F.col("_key") != F.col("component_id")).select("_key").distinct().write.parquet(path)
     kept = keyed.join(spark.read.parquet(path), "_key", "left_anti")
     return kept.dropDuplicates(["_key"]).drop("_key") if _repeats(keyed) else kept.drop("_key")

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import pytest
 import xxhash
 
-from impactlens.llm import components, exact_dedup, queries, simhash
+from impactlens.llm import components, exact_dedup, near_copies, queries, simhash
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -124,3 +125,41 @@ def test_exact_duplicates_of_odd_rows(spark):
     assert exact_dedup.keep_one(twice).count() == 2
     assert sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()) == [1, 3, 5, 6, 7, 9, 10]
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0 and exact_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def plain_jaccard(a, b, words=5):
+    def shingles(text):
+        parts = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+        return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+    a, b = shingles(a), shingles(b)
+    return Fraction(len(a & b), len(a | b)) if a or b else Fraction(1)
+
+
+@pytest.mark.parametrize("frequent", [near_copies.MOST_FREQUENT, 0])
+def test_near_copies_are_all_pairs_of_that_similarity(spark, monkeypatch, frequent):
+    monkeypatch.setattr(near_copies, "MOST_FREQUENT", frequent)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([9, 40, 150]))]
+        for changes in (0, 0, 1, 1, 2, 3, 4, 6):
+            own = list(base)
+            for _ in range(changes):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(4000)}"
+            texts.append(" ".join(own[: len(own) - rng.randrange(4)]) + rng.choice(["", "\nthe line that every text may have at its end"]))
+    rows = dict(enumerate([*texts, None, "", " \n", "one two", "ONE  two", "two one"]))
+    want = plain_components(rows, lambda a, b: plain_jaccard(a, b) >= Fraction(4, 5))
+    got = near_copies.near_copies(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    far = [(i, j) for i, j in want.items() if i != j and (plain_fingerprint(rows[i], 5) ^ plain_fingerprint(rows[j], 5)).bit_count() > 5]
+    assert far  # copies that their fingerprints do not show
+
+
+def test_a_large_group_of_near_copies_does_not_make_all_its_pairs(spark, monkeypatch):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[: i % 290], f"x{i}", *base[i % 290 + 1 :]])) for i in range(400)]
+    made, decided = [], near_copies._decided
+    monkeypatch.setattr(near_copies, "_decided", lambda *a: made.append(a[2].count()) or decided(*a))
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(made) < 400 * 399 / 10
