@@ -163,3 +163,16 @@ def test_a_large_group_of_near_copies_does_not_make_all_its_pairs(spark, monkeyp
     monkeypatch.setattr(near_copies, "_decided", lambda *a: made.append(a[2].count()) or decided(*a))
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and sum(made) < 400 * 399 / 10
+
+
+def test_near_fingerprints_of_other_texts_stay(spark):
+    line = "this line comes again and again in each of these texts\n"
+    rows = [(i, line * 200 + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(6)]
+    prints = [plain_fingerprint(text, 5) for _, text in rows]
+    assert all((a ^ b).bit_count() <= 5 for a in prints for b in prints)
+    assert plain_jaccard(rows[0][1], rows[1][1]) < Fraction(4, 5)
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 6
+    # links that do not hold do not make chains either: 0 and 1 are near copies, 2 is none of either
+    words = [f"v{i}" for i in range(100)]
+    chain = [(0, " ".join(words)), (1, " ".join(words) + " end"), (2, " ".join(words[:70]) + " other end")]
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(chain, "doc_id long, text string")).collect()} == {0, 2}
