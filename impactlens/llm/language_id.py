@@ -44,6 +44,8 @@ class Model:
     def __init__(self, languages: list[str], order: int, grams: list[np.ndarray], counts: list[np.ndarray]):
         """grams[n - 1]: the sorted distinct strings of n bytes as big-endian numbers, counts: (string, language)."""
         self.languages, self.order = languages, order
+        # bits a byte up to which a text is taken to be in each language
+        self.bounds = np.full(len(languages), np.inf)
         self.parents: list[np.ndarray] = []
         self.last: list[np.ndarray] = []
         self.costs: list[np.ndarray] = []
@@ -134,11 +136,15 @@ class Model:
                 bits[start : start + lead] = 0
         np.add.at(out, [i for i, _, _ in group], np.add.reduceat(bits, starts, axis=0, dtype=np.float64))
 
+    def _lengths(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+        """The bytes of each text, none if it has no letter, and their bits in each language."""
+        known = [t.lower().encode() if t is not None and self.languages and has_letter(t) else b"" for t in texts]
+        parts = [self.code_lengths(known[i : i + TEXTS]) for i in range(0, len(known), TEXTS)]
+        return known, np.concatenate([np.zeros((0, len(self.languages))), *parts])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior, if all languages are as likely before; of equals the first by name."""
-        known = [t if t is not None and self.languages and has_letter(t) else "" for t in texts]
-        parts = [self.code_lengths([t.lower().encode() for t in known[i : i + TEXTS]]) for i in range(0, len(known), TEXTS)]
-        lengths = np.concatenate([np.zeros((0, len(self.languages))), *parts])
+        known, lengths = self._lengths(texts)
         best = lengths.argmin(axis=1) if self.languages else np.zeros(len(texts), int)
         langs = [self.languages[b] if t else UNDECIDED for t, b in zip(known, best.tolist(), strict=True)]
         if not self.languages:
@@ -147,6 +153,28 @@ class Model:
             share = 1 / np.exp2(np.minimum(lengths.min(axis=1, keepdims=True) - lengths, 0)).sum(axis=1)
         return langs, [s if t else 0.0 for t, s in zip(known, share.tolist(), strict=True)]
 
+    def within(self, texts: list[str | None]) -> list[str]:
+        """The language with the shortest code, or `und` if that is longer than a text of the language may cost.
+
+        A text may cost its bytes times the bound, and 8 bits for each byte at its start without a full context.
+        """
+        known, lengths = self._lengths(texts)
+        if not self.languages:
+            return [UNDECIDED] * len(texts)
+        best = lengths.argmin(axis=1)
+        sizes = np.array([len(t) for t in known], np.int64)
+        fits = (sizes > 0) & (lengths.min(axis=1) <= self.bounds[best] * sizes + 8.0 * self.order)
+        return [self.languages[b] if ok else UNDECIDED for b, ok in zip(best.tolist(), fits.tolist(), strict=True)]
+
+
+def bound(own: np.ndarray, other: np.ndarray) -> float:
+    """The bits a byte half way between what texts cost in their language and in the best other one.
+
+    That is between the median of the former and what one in twenty texts stays below of the latter, but no
+    less than what 95 in a hundred texts cost in their own language.
+    """
+    return max(float(np.median(own) + np.quantile(other, 0.05)) / 2, float(np.quantile(own, 0.95)))
+
 
 def fit(
     labelled: DataFrame,
@@ -155,9 +183,14 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    bounded: bool = False,
 ) -> Model:
     """Learn from whole texts of at most `per_language` rows of each language, those whose ids hash lowest.
 
+    With `bounded` also what a byte may cost: half of these texts, scored by a model of the other half, show
+    what unseen texts cost in their own language and in the best of the others (8 bits if there is none), as
+    a text of a language that was not learned would. A language without such a text has no bound.
+
     `per_language` bounds the model, not the rows it is applied to. Rows without a language or a text are
     left out. Byte strings are counted where the texts lie and only their totals reach the driver.
     """
@@ -165,11 +198,12 @@ def fit(
     rows = rows.filter("lang IS NOT NULL AND text != ''")
     first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    sample = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
+    half = (F.min("n") % 2).alias("half") if bounded else F.lit(0).alias("half")
+    sample = rows.join(F.broadcast(chosen.groupBy("id", "lang").agg(half)), ["id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for lang, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_py().lower().encode(), np.uint8).astype(np.int64)
                 grams = data
                 for n in range(1, min(order + 1, len(data)) + 1):
@@ -177,13 +211,39 @@ def fit(
                         grams = grams[:-1] << 8 | data[n - 1 :]
                     values, counts = np.unique(grams, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(values)), pa.array([n] * len(values), pa.int32()), pa.array(values), pa.array(counts)],
-                        ["lang", "n", "gram", "cnt"],
+                        [
+                            pa.array([lang] * len(values)), pa.array([half] * len(values), pa.int32()),
+                            pa.array([n] * len(values), pa.int32()), pa.array(values), pa.array(counts),
+                        ],
+                        ["lang", "half", "n", "gram", "cnt"],
                     )
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, n int, gram long, cnt long")
-    found = counted.groupBy("lang", "n", "gram").agg(F.sum("cnt").alias("cnt")).toArrow().to_pandas()
+    counted = sample.select("lang", "half", "text").mapInArrow(count, "lang string, half int, n int, gram long, cnt long")
+    found = counted.groupBy("lang", "half", "n", "gram").agg(F.sum("cnt").alias("cnt")).toArrow().to_pandas()
     languages = sorted(found["lang"].unique())
+    model = _model(found, languages, order)
+    if bounded and languages:
+        shared = labelled.sparkSession.sparkContext.broadcast(_model(found[found["half"] == 1], languages, order))
+
+        def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                langs, texts = batch.column(0).to_pylist(), [t.as_py().lower().encode() for t in batch.column(1)]
+                each = shared.value.code_lengths(texts) / np.array([[len(t)] for t in texts])
+                at = np.searchsorted(languages, langs)
+                own = each[np.arange(len(at)), at]
+                each[np.arange(len(at)), at] = np.inf
+                other = each.min(axis=1) if len(languages) > 1 else np.full(len(at), 8.0)
+                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(own), pa.array(other)], ["lang", "own", "other"])
+
+        unseen = sample.filter("half = 0").select("lang", "text").mapInArrow(costs, "lang string, own double, other double").toArrow().to_pandas()
+        for lang, part in unseen.groupby("lang"):
+            model.bounds[languages.index(lang)] = bound(part["own"].to_numpy(), part["other"].to_numpy())
+    return model
+
+
+def _model(found: pd.DataFrame, languages: list[str], order: int) -> Model:
+    """The model of (lang, half, n, gram, cnt)."""
+    found = found.groupby(["lang", "n", "gram"], as_index=False)["cnt"].sum()
     grams, counts = [], []
     for n in range(1, order + 2):
         part = found[found["n"] == n]
@@ -227,11 +287,18 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
     return docs.select(*kept, predict(F.col(text_col).cast("string")).alias("_predicted")).select(*kept, "_predicted.*")
 
 
-def known_language(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose text is in a language learned from the labelled ones, unlabelled rows labelled.
 
-    Rejected are texts that are `und`, and those for which no language is as likely as all others together.
+    Rejected are texts that are `und`, and those whose bytes cost more in the best language than its bound;
+    that several languages are about as likely, as for a short text, rejects none.
     """
-    found = predict_language(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), text_col)
-    kept = found.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= min_score))
-    return kept.withColumn(lang_col, F.coalesce(lang_col, "lang_pred")).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, bounded=True))
+
+    @pandas_udf("string")
+    def within(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.within([None if t is None else t for t in texts]), dtype=object)
+
+    found = docs.withColumn("_within", within.asNondeterministic()(F.col(text_col).cast("string")))
+    kept = found.filter(F.col("_within") != UNDECIDED)
+    return kept.withColumn(lang_col, F.coalesce(lang_col, "_within")).select(*docs.columns)

@@ -294,3 +294,16 @@ def test_languages_of_odd_rows(spark):
     nothing = language_id.fit(docs.filter("lang IS NULL"))
     assert {r.lang_pred for r in language_id.predict_language(docs, nothing).collect()} == {"und"}
     assert language_id.predict_language(docs.limit(0), nothing).count() == 0
+
+
+def test_texts_in_no_learned_language_go_and_short_ones_stay(spark):
+    rng = random.Random(4)
+    words = {"en": "the of and house water people under little great morning", "de": "der und die haus wasser leute unter kleine morgen über"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(60)), lang) for i, lang in enumerate(["en", "de"] * 30)]
+    rows += [
+        (100, "Это предложение на русском языке, которое модель не знает", None), (101, "ovo je rečenica čiji jezik nitko nije učio " * 9, "hr"),
+        (102, "a 0101010101 #### $$$$ %%%% 28394 )(*&" * 5, None), (103, "the house", None), (104, "un", "de"), (105, "die leute", None),
+    ]
+    kept = language_id.known_language(spark.createDataFrame([r for r in rows if r[2] != "hr"] + [(101, rows[61][1], None)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r.lang for r in kept.collect()}
+    assert got == {i: lang for i, _, lang in rows[:60]} | {103: "en", 104: "de", 105: "de"}
