@@ -11,7 +11,6 @@ from impactlens.catalog import views as V
 from impactlens.catalog.labels import labelled, works_table
 from impactlens.catalog.registry import query
 from impactlens.operators import cohorts, embeddings, explain, labels, metrics
-from impactlens.operators.text_features import TextFeaturizer
 from impactlens.plans import ranker, scoring, training
 from impactlens.storage import durable, new_path
 
@@ -30,13 +29,9 @@ def full_papers(spark, sf):
     )
 
 
-def _featurizer():
-    return TextFeaturizer(max_features=2000, n_components=8)
-
-
 def _text_trained(spark, sf):
     papers = durable(full_papers(spark, sf))
-    made, report = training.train_baseline(papers, featurizer=_featurizer(), max_iter=3, max_depth=4)
+    made, report = training.train_baseline(papers)
     return papers, made, report
 
 
@@ -45,7 +40,7 @@ def _meta_trained(spark, sf):
     authors = V.authors(spark, sf).groupBy("paper_id").agg(F.count(F.lit(1)).cast("int").alias("n_authors"))
     rows = labelled(spark, sf).join(authors, "paper_id").withColumn("month", F.month("published"))
     papers = durable(rows.select("paper_id", "published", "primary_cat", "title", "month", "n_authors", "y12"))
-    made, _ = training.train(papers, text_encoder="none", max_iter=5, max_depth=4)
+    made, _ = training.train(papers, text_encoder="none")
     return papers, made
 
 
@@ -60,8 +55,8 @@ def m7(spark, sf):
 
 
 def _finite(spark, report):
-    """One row per metric: whether it is a number; null, where a horizon has no test papers, is none to judge."""
-    rows = [(k, v is None or math.isfinite(v)) for k, v in sorted(report.items())]
+    """One row per metric: whether it is a number; a missing one, as where a horizon has no test papers, is not."""
+    rows = [(k, v is not None and math.isfinite(v)) for k, v in sorted(report.items())]
     return spark.createDataFrame(rows, "metric STRING, finite BOOLEAN")
 
 
@@ -93,9 +88,7 @@ def m4(spark, sf):
     papers = durable(full_papers(spark, sf))
     vectors, _ = embeddings.embed_papers(papers, lambda: embeddings.HashEncoder(16))
     rows = papers.join(vectors, "paper_id")
-    _, report = training.train(
-        rows, {6: "y6", 12: "y12", 24: "y24"}, "hybrid", featurizer=_featurizer(), max_iter=3, max_depth=3
-    )
+    _, report = training.train(rows, {6: "y6", 12: "y12", 24: "y24"}, "hybrid")
     return _finite(spark, report)
 
 
@@ -159,7 +152,7 @@ def m6(spark, sf):
     """Whether the ranker orders monthly cohorts of the test dates better than a constant score does."""
     made = _meta_vectors(spark, sf).withColumn("cohort", F.date_format("published", "yyyy-MM"))
     rows = durable(training.split_by_time(made).select("paper_id", "cohort", "split", F.col("y12").alias("y"), "features"))
-    model = ranker.train_ranker(rows.filter("split = 'train'"), rounds=3)
+    model = ranker.train_ranker(rows.filter("split = 'train'"))
     scored = durable(
         model.score(rows.filter("split = 'test'")).select("paper_id", "cohort", F.col("y").alias("y_true"), F.col("score").alias("y_pred"))
     )

@@ -238,3 +238,30 @@ def test_transformer_and_graph_features_over_two_horizons(papers):
     assert training.predict(rows, made, 24).count() == 240
     with pytest.raises(ValueError):
         training.train(rows, text_encoder="unknown")
+
+
+def test_a_missing_metric_is_not_finite(spark):
+    from impactlens.catalog import models
+
+    got = models._finite(spark, {"a": 1.0, "b": None, "c": float("nan")}).collect()
+    assert {r["metric"]: r["finite"] for r in got} == {"a": True, "b": False, "c": False}
+
+
+def test_model_queries_run_with_the_defaults(spark, monkeypatch):
+    from impactlens.catalog import models
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **settings):
+        seen.append((args[2] if len(args) > 2 else settings.pop("text_encoder", "tfidf"), settings))
+        raise Stop
+
+    seen = []
+    monkeypatch.setattr(training, "train", stop)
+    monkeypatch.setattr(training, "train_baseline", stop)
+    monkeypatch.setattr(ranker, "train_ranker", lambda rows, **settings: stop(rows, **settings))
+    for query in (models.m1, models.m4, models.m5, models.m6):
+        with pytest.raises(Stop):
+            query(spark, "/root/testdata/sf0.001")
+    assert [encoder for encoder, _ in seen] == ["tfidf", "hybrid", "none", "tfidf"] and not any(settings for _, settings in seen)
