@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from impactlens.llm import (
     chat,
     ctph,
+    divergence,
     exact_dedup,
     language_id,
     licences,
@@ -18,6 +19,8 @@ from impactlens.llm import (
     secret_scan,
     simhash,
     token_counts,
+    url_filter,
+    vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +87,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and read back from the formatted text."""
     said = "</s>[INST] ok [/INST]"
-    schema = "conv_id long, turn long, role string, text string"
-    tricky = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
     parts = rows.withColumn("content", chat.full_parts(chat.text_part(F.col("text"))))
     formatted = chat.format_turns(parts).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
@@ -136,6 +139,36 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the words of every source are from those of its language and of each other source."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"), least_documents=30)
+
+
+# The rules of the URL filter.
+URL_RULES = [
+    url_filter.Rule("allow", "org/"),
+    url_filter.Rule("block", "example.org/es/"),
+    url_filter.Rule("block", "example.org/en/1"),
+    url_filter.Rule("allow", "com/fr/"),
+    url_filter.Rule("block", "com/de/"),
+]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules, and by models of the addresses that the rules accept and reject."""
+    pages = table(spark, sf_dir, "pages")
+    machine = url_filter.train(url_filter.ruled(pages, URL_RULES), order=4, most_states=3000, per_class=20_000)
+    return url_filter.judge(pages, URL_RULES, machine)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as four codes, and their errors."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -149,6 +182,9 @@ QUERIES: dict[str, Query] = {
         op8_secret_scan,
         op9_piece_encoding,
         op10_language_id,
+        op11_source_divergence,
+        op12_url_filter,
+        op13_vector_codes,
     )
 }
 
@@ -203,4 +239,30 @@ whole AS (
   FROM sized GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars
 FROM whole""",
+    "op11_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+sources AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3),
+dense AS (
+  SELECT s.lang, s.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+  FROM sources s JOIN kept k ON k.lang = s.lang LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+shares AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS BIGINT) AS p,
+         CAST(1 + (1000000000 * (lang_n + 5)) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS BIGINT) AS q
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50""",
 }
