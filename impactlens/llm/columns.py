@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+
 def text_of(column: str) -> Column:
     """The column as text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -26,6 +27,14 @@ def schema_of(df: DataFrame, **columns: str) -> str:
     return ", ".join(f"`{name}` {kind(spec)}" for name, spec in columns.items())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def number_array(values: Iterable[float]) -> Column:
     """Many numbers as one literal: a folded cast, not an expression for each number."""
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from impactlens.llm.columns import ascii_lower, shuffle_partitions, text_of
+from impactlens.llm.columns import ascii_lower, shuffle_partitions, text_of, unused
 from impactlens.storage import new_path
 
 # Text of a range: bounds what one task sorts.
@@ -121,15 +121,16 @@ def exact_duplicates(
 def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, one for each distinct normalised text: the one exact_duplicates keeps; of repeated rows one."""
     digest = F.sha2(ascii_lower(text_of(text_col)), 256)
-    key = lambda digest: F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("text")).alias("_key")
+    name = unused(docs, "key")
+    key = lambda digest: F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("text")).alias(name)
     found = exact_duplicates(docs, keep, id_col, text_col)
     path = new_path(docs.sparkSession, "dropped")
-    totals = found.select(key(F.col("text_sha256")), "kept").groupBy("_key").agg(
+    totals = found.select(key(F.col("text_sha256")), "kept").groupBy(name).agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")
     )
     totals.filter("NOT kept OR n > 1").write.parquet(path)
     decided = docs.sparkSession.read.parquet(path)
-    rest = docs.select("*", key(digest)).join(decided.filter("NOT kept").select("_key"), "_key", "left_anti")
+    rest = docs.select("*", key(digest)).join(decided.filter("NOT kept").select(name), name, "left_anti")
     if decided.filter("kept AND n > 1").limit(1).count():
-        rest = rest.dropDuplicates(["_key"])
+        rest = rest.dropDuplicates([name])
     return rest.select(*docs.columns)

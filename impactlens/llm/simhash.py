@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from impactlens.llm.columns import schema_of, text_of
+from impactlens.llm.columns import schema_of, shuffle_partitions, text_of, unused
 from impactlens.llm.components import smallest_reachable
+from impactlens.operators.skew import spread_join
 from impactlens.storage import new_path
 
 SEED = 42
@@ -136,38 +137,38 @@ def near_duplicates(
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "simhash")
     fingerprints(docs, words, id_col, text_col).withColumnRenamed(id_col, "id").write.parquet(path + "/fp")
     prints = spark.read.parquet(path + "/fp")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    links(distinct.select("fp"), max_bits).distinct().write.parquet(path + "/links")
+    prints.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("cnt")).write.parquet(path + "/groups")
+    groups = spark.read.parquet(path + "/groups")
+    # a small table whose rows each visit some fifty cells: dealt to all tasks
+    dealt = groups.select("fp").repartition(shuffle_partitions(spark), "fp")
+    links(dealt, max_bits).distinct().write.parquet(path + "/links")
+    # A node begins with the smallest id of its fingerprint, so the smallest node of a component has the id that is
+    # wanted. No fingerprint has more links than there are numbers within the distance.
+    node = groups.select("fp", F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("node"))
     pairs = spark.read.parquet(path + "/links")
-    joined = smallest_reachable(pairs)  # over fingerprints: (node, root)
-    nodes = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    roots = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = nodes.join(roots, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    pairs = pairs.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a")
+    pairs = pairs.join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    linked = smallest_reachable(pairs, "x", "y").select(F.col("node.fp").alias("fp"), F.col("root.first").alias("least"), F.lit(True).alias("linked"))
+    member = groups.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    return spread_join(prints, member, "fp", counts=groups.select("fp", "cnt")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(
-    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The rows of `docs`, one of each component of near copies: the one with the smallest id, of repeated rows one.
+def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, one of each component of near_duplicates: the one with the smallest id, of repeated rows one.
 
-    Near copies are texts whose word shingles have a Jaccard similarity of `least` or more, all of them; the
-    fingerprints have no part in it. Of equal ids the text decides; a null id comes after all others.
+    Of equal ids the text decides; a null id comes after all others.
     """
-    from impactlens.llm.near_copies import near_copies
-
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "dropped")
+    key = unused(docs, "key")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("at"))
-    keyed = docs.withColumn("_key", order)
-    found = near_copies(keyed, words, least, "_key", text_col)
-    found.filter(F.col("_key") != F.col("component_id")).select("_key").distinct().write.parquet(path)
-    kept = keyed.join(spark.read.parquet(path), "_key", "left_anti")
-    return kept.dropDuplicates(["_key"]).drop("_key") if _repeats(keyed) else kept.drop("_key")
+    keyed = docs.withColumn(key, order)
+    found = near_duplicates(keyed.select(order.alias("key"), F.col(text_col).alias("text")), words, max_bits, "key", "text")
+    found.filter(F.col("key") != F.col("component_id")).select(F.col("key").alias(key)).distinct().write.parquet(path)
+    kept = keyed.join(spark.read.parquet(path), key, "left_anti")
+    return kept.dropDuplicates([key]).drop(key) if _repeats(keyed, key) else kept.drop(key)
 
 
-def _repeats(keyed: DataFrame) -> bool:
+def _repeats(keyed: DataFrame, key: str) -> bool:
     """Whether a key stands in more than one row."""
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return bool(counts.filter("n > 1").limit(1).count())
