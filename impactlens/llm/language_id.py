@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from impactlens.llm.columns import text_of
+from impactlens.llm.columns import text_of, unused
+from impactlens.storage import new_path
 
 UNDECIDED = "und"
 # Bytes scored at once; a longer text is gone through in slices, each behind the bytes of its context.
@@ -27,6 +28,7 @@ AT_ONCE = 1 << 18
 # Texts lower-cased and encoded at once.
 TEXTS = 200
 LETTER = re.compile(r"[^\W\d_]")
+NO_WORDS = re.compile(r"\w*[\d_]\w*|\W+")
 
 
 def has_letter(text: str) -> bool:
@@ -34,6 +36,11 @@ def has_letter(text: str) -> bool:
     return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
 
 
+def words_alone(text: str) -> bytes:
+    """Lower-case words of letters, and a blank for whatever is between them: numbers, keys and signs are in no language."""
+    return NO_WORDS.sub(" ", text.lower()).encode()
+
+
 class Model:
     """Costs in bits of byte strings of up to order + 1 bytes, the last byte coded in the context of the others.
 
@@ -153,27 +160,29 @@ class Model:
             share = 1 / np.exp2(np.minimum(lengths.min(axis=1, keepdims=True) - lengths, 0)).sum(axis=1)
         return langs, [s if t else 0.0 for t, s in zip(known, share.tolist(), strict=True)]
 
-    def within(self, texts: list[str | None]) -> list[str]:
-        """The language with the shortest code, or `und` if that is longer than a text of the language may cost.
+    def within(self, texts: list[str | None]) -> tuple[list[str], list[bool]]:
+        """The language with the shortest code, `und` if there is none, and whether a text of it may cost so much.
 
-        A text may cost its bytes times the bound, and 8 bits for each byte at its start without a full context.
+        The words of a text may cost their bytes times the bound, and 8 bits for each byte at the start without
+        a full context.
         """
         known, lengths = self._lengths(texts)
         if not self.languages:
-            return [UNDECIDED] * len(texts)
+            return [UNDECIDED] * len(texts), [False] * len(texts)
         best = lengths.argmin(axis=1)
-        sizes = np.array([len(t) for t in known], np.int64)
-        fits = (sizes > 0) & (lengths.min(axis=1) <= self.bounds[best] * sizes + 8.0 * self.order)
-        return [self.languages[b] if ok else UNDECIDED for b, ok in zip(best.tolist(), fits.tolist(), strict=True)]
+        said = [words_alone(t) if b else b"" for t, b in zip(texts, known, strict=True)]
+        spent = np.concatenate([np.zeros(0), *(self.code_lengths(said[i : i + TEXTS])[range(len(said[i : i + TEXTS])), best[i : i + TEXTS]] for i in range(0, len(said), TEXTS))])
+        fits = spent <= self.bounds[best] * np.array([len(t) for t in said], np.int64) + 8.0 * self.order
+        return [self.languages[b] if t else UNDECIDED for t, b in zip(known, best.tolist(), strict=True)], fits.tolist()
 
 
 def bound(own: np.ndarray, other: np.ndarray) -> float:
     """The bits a byte half way between what texts cost in their language and in the best other one.
 
     That is between the median of the former and what one in twenty texts stays below of the latter, but no
-    less than what 95 in a hundred texts cost in their own language.
+    less than what any text costs in its own language.
     """
-    return max(float(np.median(own) + np.quantile(other, 0.05)) / 2, float(np.quantile(own, 0.95)))
+    return max(float(np.median(own) + np.quantile(other, 0.05)) / 2, float(own.max()))
 
 
 def fit(
@@ -185,7 +194,7 @@ def fit(
     lang_col: str = "lang",
     bounded: bool = False,
 ) -> Model:
-    """Learn from whole texts of at most `per_language` rows of each language, those whose ids hash lowest.
+    """Learn from whole texts of at most `per_language` rows of each language, those whose id and text hash lowest.
 
     With `bounded` also what a byte may cost: half of these texts, scored by a model of the other half, show
     what unseen texts cost in their own language and in the best of the others (8 bits if there is none), as
@@ -194,12 +203,20 @@ def fit(
     `per_language` bounds the model, not the rows it is applied to. Rows without a language or a text are
     left out. Byte strings are counted where the texts lie and only their totals reach the driver.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text_of(text_col).alias("text"))
+    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text != ''")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language)
-    half = (F.min("n") % 2).alias("half") if bounded else F.lit(0).alias("half")
-    sample = rows.join(F.broadcast(chosen.groupBy("id", "lang").agg(half)), ["id", "lang"])
+    # Hashes are even, so about twice the wanted rows of a language lie below its limit, and no more are shuffled.
+    limit = F.least(F.lit(1.0), 2.0 * per_language / F.col("rows")) * float(1 << 63)
+    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", limit.alias("limit"))
+    place = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    near = rows.withColumn("place", place).join(limits, "lang").filter(F.col("place") <= F.col("limit"))
+    number = F.row_number().over(W.partitionBy("lang").orderBy("place", "id", "text"))
+    chosen = near.select("lang", "text", number.alias("number")).filter(F.col("number") <= per_language)
+    sample = chosen.select("lang", "text", (F.col("number") % 2 if bounded else F.lit(0)).alias("half"))
+    if bounded:
+        path = new_path(labelled.sparkSession, "sample")
+        sample.write.parquet(path)
+        sample = labelled.sparkSession.read.parquet(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +244,7 @@ def fit(
 
         def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                langs, texts = batch.column(0).to_pylist(), [t.as_py().lower().encode() for t in batch.column(1)]
+                langs, texts = batch.column(0).to_pylist(), [words_alone(t.as_py()) or b" " for t in batch.column(1)]
                 each = shared.value.code_lengths(texts) / np.array([[len(t)] for t in texts])
                 at = np.searchsorted(languages, langs)
                 own = each[np.arange(len(at)), at]
@@ -282,23 +299,34 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
     learned; the score is else the language's posterior. Repeated rows are kept, an empty table gives no
     rows. Columns of these two names are replaced.
     """
-    predict = predictor(docs, model)
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_predicted")]
-    return docs.select(*kept, predict(F.col(text_col).cast("string")).alias("_predicted")).select(*kept, "_predicted.*")
+    predict, name = predictor(docs, model), unused(docs, "predicted")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return docs.select(*kept, predict(F.col(text_col).cast("string")).alias(name)).select(*kept, f"{name}.*")
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose text is in a language learned from the labelled ones, unlabelled rows labelled.
 
-    Rejected are texts that are `und`, and those whose bytes cost more in the best language than its bound;
-    that several languages are about as likely, as for a short text, rejects none.
+    Rejected are texts that are `und`, and unlabelled ones whose bytes cost more in the best language than
+    its bound; that several languages are about as likely, as for a short text, rejects none, and neither
+    do dear bytes reject a text with a label. Repeated rows are kept, an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, bounded=True))
+    found = within_bounds(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, bounded=True), text_col)
+    name = found.columns[-1]
+    lettered = F.col(f"{name}.lang") != UNDECIDED
+    kept = found.filter(lettered & (F.col(f"{name}.within") | F.col(lang_col).isNotNull()))
+    label = F.coalesce(F.col(lang_col), F.col(f"{name}.lang")).cast(docs.schema[lang_col].dataType).alias(lang_col)
+    return kept.select(*[label if c.lower() == lang_col.lower() else F.col(c) for c in docs.columns])
+
+
+def within_bounds(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """`docs` and, last, struct<lang, within>: the language with the shortest code, `und` without a letter, and
+    whether that code is within what a text of the language may cost."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("string")
-    def within(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.within([None if t is None else t for t in texts]), dtype=object)
+    @pandas_udf("lang string, within boolean")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        langs, fits = shared.value.within([None if t is None else t for t in texts])
+        return pd.DataFrame({"lang": langs, "within": fits})
 
-    found = docs.withColumn("_within", within.asNondeterministic()(F.col(text_col).cast("string")))
-    kept = found.filter(F.col("_within") != UNDECIDED)
-    return kept.withColumn(lang_col, F.coalesce(lang_col, "_within")).select(*docs.columns)
+    return docs.withColumn(unused(docs, "judged"), judge.asNondeterministic()(F.col(text_col).cast("string")))
