@@ -7,12 +7,12 @@ the same texts. A token is a secret if it is by far likelier under the first mod
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import log
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from impactlens.llm.columns import number_array, text_of
+from impactlens.llm.columns import number_array, text_of, unused
 
 # The patterns and least lengths of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,13 +23,15 @@ ASSIGNED_LEAST = 8
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
-# Tokens the models are asked about; a token is a whole run of these characters.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-WORD = r"[A-Za-z_-]{4,}"
+# Runs the models are asked about, and the characters that part a run: a secret begins and ends at one, or with the run.
+TOKEN = r"[A-Za-z0-9+/_=-]{8,}"
+SEPARATORS = "+/_=-"
+# Ordinary identifiers: words and plain numbers.
+WORD = r"[A-Za-z0-9_-]{4,}"
 
 
-def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """All leftmost matches that do not overlap, as spans in code points, score null; `found` is the match.
+def _spans(text: Column, pattern: str, kind: str, wanted: Callable[[Column], Column] = lambda match: F.lit(True)) -> Column:
+    """The `wanted` ones of all leftmost matches that do not overlap, as spans in code points; `found` is the match.
 
     The text between matches gives their places: places are running sums of lengths.
     """
@@ -45,7 +47,9 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
         start,
         lambda acc, p: F.struct(
             (acc["at"] + p["gap"] + F.char_length(p["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["match"].alias("match")))).alias("out"),
+            F.when(wanted(p["match"]), F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), p["match"].alias("match")))))
+            .otherwise(acc["out"])
+            .alias("out"),
         ),
         lambda acc: acc["out"],
     )
@@ -138,37 +142,107 @@ def train(docs: DataFrame, sample_rows: int = 2000, id_col: str = "doc_id", text
     return ratios
 
 
-def score(token: Column, ratios: Column) -> Column:
-    """The sum of the ratios of a token's transitions, in one pass over its characters."""
+def best_parts(token: Column, ratios: Column, min_score: float) -> Column:
+    """array<struct<start, end, score>>: the parts of a token with a score of `min_score` or more, in one pass.
+
+    A part goes from one end of the token or separator to another, and its score is the sum of the ratios
+    of its transitions. Whenever the sum falls below 0 at a separator a new part begins behind it, and the
+    part before it is closed where its sum was greatest.
+    """
+    separators = F.array(*map(F.lit, SEPARATORS))
+    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
+    zero, sums = F.lit(0), F.lit(0.0)
+    start = F.struct(
+        zero.alias("last"), zero.alias("at"), zero.alias("start"), sums.alias("sum"), zero.alias("end"), sums.alias("best"), none.alias("out")
+    )
+
+    def closed(acc: Column, end: Column, best: Column) -> Column:
+        part = F.struct(acc["start"].alias("start"), end.alias("end"), best.alias("score"))
+        return F.when(best >= min_score, F.concat(acc["out"], F.array(part))).otherwise(acc["out"])
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        parts = F.array_contains(separators, c)
+        # a part that ends in front of this character has the sum without it
+        better = parts & (acc["sum"] > acc["best"])
+        end, best = F.when(better, acc["at"]).otherwise(acc["end"]), F.when(better, acc["sum"]).otherwise(acc["best"])
+        fresh = parts & (acc["sum"] < 0)
+        behind = acc["at"] + 1
+        ratio = F.when(acc["last"] == 0, 0.0).otherwise(F.get(ratios, 128 * acc["last"] + code))
+        return F.struct(
+            F.when(fresh, 0).otherwise(code).alias("last"),
+            behind.alias("at"),
+            F.when(fresh, behind).otherwise(acc["start"]).alias("start"),
+            F.when(fresh, 0.0).otherwise(acc["sum"] + ratio).alias("sum"),
+            F.when(fresh, behind).otherwise(end).alias("end"),
+            F.when(fresh, 0.0).otherwise(best).alias("best"),
+            F.when(fresh, closed(acc, end, best)).otherwise(acc["out"]).alias("out"),
+        )
+
+    def finish(acc: Column) -> Column:
+        better = acc["sum"] > acc["best"]
+        return closed(acc, F.when(better, acc["at"]).otherwise(acc["end"]), F.greatest(acc["sum"], acc["best"]))
+
+    return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), start, step, finish)
+
+
+def most_score(token: Column, ratios: Column) -> Column:
+    """No part of a token can have a higher score: the sum of the ratios above 0 of its transitions."""
     start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))  # no token has the character 0
     return F.aggregate(
         F.filter(F.split(token, ""), lambda c: c != ""),
         start,
-        lambda acc, c: F.struct(F.ascii(c).alias("last"), (acc["sum"] + F.get(ratios, 128 * acc["last"] + F.ascii(c))).alias("sum")),
+        lambda acc, c: F.struct(F.ascii(c).alias("last"), (acc["sum"] + F.greatest(F.get(ratios, 128 * acc["last"] + F.ascii(c)), F.lit(0.0))).alias("sum")),
         lambda acc: acc["sum"],
     )
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by as many blanks, so that places stay."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        low = F.greatest(acc["at"], s["start"])
+        before = F.substring(text, (acc["at"] + 1).cast("int"), (low - acc["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - low, F.lit(0).cast("long")).cast("int"))
+        return F.struct(F.greatest(low, s["end"]).alias("at"), F.concat(acc["out"], before, blank).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+
+
 def find_spans(docs: DataFrame, ratios: Sequence[float], min_score: float = 15.0, text_col: str = "text", name: str = "spans") -> DataFrame:
     """`docs` with `name`: array<struct<kind, start, end, score>> by start and then kind.
 
     Kinds assign, access and hex are the matches of the fixed patterns, all of them, with a null score;
-    random are whole tokens with a ratio of `min_score` or more that overlap none of those. Places are
-    code points, ends exclusive. A null or empty text has no spans; repeated rows are kept, an empty
-    table gives no rows; a column of that name is replaced.
+    random are the parts with a score of `min_score` or more of runs in what those leave of the text.
+    Places are code points, ends exclusive. A null or empty text has no spans; repeated rows are kept, an
+    empty table gives no rows; a column of that name is replaced.
     """
-    kept = [c for c in docs.columns if c.lower() not in (name.lower(), "_base", "_text")]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    text_name, base_name, rest_name, runs_name = (unused(docs, n) for n in ("text", "base", "rest", "runs"))
     table = number_array(ratios)
-    base = F.col("_base")
-    tokens = _spans(F.col("_text"), TOKEN, "random")
-    apart = F.filter(tokens, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    plain = lambda s, value: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value.alias("score"))
-    scored = F.filter(F.transform(apart, lambda t: plain(t, score(t["found"], table))), lambda t: t["score"] >= min_score)
+    base, text, rest = F.col(base_name), F.col(text_name), F.col(rest_name)
     none = F.lit(None).cast("double")
+    fixed = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), none.alias("score")))
+    runs = _spans(rest, TOKEN, "random", lambda match: most_score(match, table) >= min_score)
+    scored = F.flatten(
+        F.transform(
+            F.col(runs_name),
+            lambda t: F.transform(
+                best_parts(t["found"], table, min_score),
+                lambda p: F.struct(
+                    t["kind"].alias("kind"), (t["start"] + p["start"]).alias("start"), (t["start"] + p["end"]).alias("end"), p["score"].alias("score")
+                ),
+            ),
+        )
+    )
     return (
-        docs.select(*kept, text_of(text_col).alias("_text"))
-        .select(*kept, "_text", base_spans(F.col("_text")).alias("_base"))
-        .select(*kept, _in_order(F.concat(F.transform(base, lambda s: plain(s, none)), scored)).cast(f"array<{SPAN}>").alias(name))
+        docs.select(*docs.columns, text_of(text_col).alias(text_name))
+        .select(*docs.columns, text_name, base_spans(text).alias(base_name))
+        .select(*docs.columns, base_name, _blanked(text, base).alias(rest_name))
+        .select(*kept, base_name, runs.alias(runs_name))
+        .select(*kept, _in_order(F.concat(fixed, scored)).cast(f"array<{SPAN}>").alias(name))
     )
 
 
@@ -191,6 +265,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the secrets in its texts replaced; rows and other columns stay, texts without secrets too."""
-    found = find_spans(docs, train(docs, id_col=id_col, text_col=text_col), text_col=text_col, name="_spans")
+    name = unused(docs, "spans")
+    found = find_spans(docs, train(docs, id_col=id_col, text_col=text_col), text_col=text_col, name=name)
     text = F.col(text_col)
-    return found.withColumn(text_col, F.when(text.isNull(), text).otherwise(redacted(text, F.col("_spans")))).select(*docs.columns)
+    return found.withColumn(text_col, F.when(text.isNull(), text).otherwise(redacted(text, F.col(name)))).select(*docs.columns)
