@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,8 +15,9 @@ from impactlens.llm.vocabulary import vocabulary
 
 # Distinct units a Python worker keeps the counts of; beyond it the memory is emptied, results do not change.
 REMEMBERED = 600_000
-# Characters merged in one go; a single longer unit is merged by itself.
+# Characters merged in one go, and characters from which on a unit is merged by itself.
 TOGETHER = 500_000
+LONG = 2_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -33,6 +35,7 @@ class Merger:
         ]
         pairs.sort()
         self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.reach = 2 * max(map(len, v.rank))
         # A piece may be made at all its places at once unless another piece that it is an end of comes
         # first, or shares its rank; such pieces are made at the leftmost place only.
         self.alone = np.zeros(len({*v.rank.values()}), bool)
@@ -99,6 +102,78 @@ class Merger:
         return total
 
 
+    def count_long(self, unit: str) -> int:
+        """Tokens of one long unit: the same merges, but each round touches the places of one rank and their neighbours only.
+
+        Places wait by rank; a place whose pair has changed since is passed over. A symbol that was merged
+        away leaves the chain of neighbours.
+        """
+        ids = self.vocabulary.ids
+        symbols = np.array([ids[c] if c in ids else -len(c.encode()) for c in unit], np.int64)
+        n = len(symbols)
+        before, after = np.arange(-1, n), np.arange(1, n + 2)
+        rank, made = np.full(n, NONE), np.full(n, -1, np.int64)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def renew(at: np.ndarray) -> None:
+            """Look up the pairs that begin at these places, and let them wait by rank."""
+            inside = after[at] < n
+            rank[at[~inside]] = NONE
+            at = at[inside]
+            rank[at], made[at] = self.look(symbols[at], symbols[after[at]])
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            ranks = rank[at]
+            starts = np.flatnonzero(np.r_[len(at) > 0, ranks[1:] != ranks[:-1]]).tolist()
+            for low, high in zip(starts, [*starts[1:], len(at)], strict=False):
+                own = int(ranks[low])
+                if own not in waiting:
+                    waiting[own] = []
+                    heapq.heappush(heap, own)
+                waiting[own].append(at[low:high])
+
+        def followed(at: np.ndarray, lowest: int) -> np.ndarray:
+            """Whether the piece made at each place could merge on with a neighbour, as it is or merged, before any other."""
+            piece, right, left = made[at], after[after[at]], before[at]
+            first = np.zeros(len(at), bool)
+            for neighbour in (piece, np.where(right < n, symbols[np.minimum(right, n - 1)], -1)):
+                first |= self.look(piece, neighbour)[0] < lowest
+            for neighbour in (piece, np.where(left >= 0, symbols[left], -1)):
+                first |= self.look(neighbour, piece)[0] < lowest
+            return first
+
+        renew(np.arange(n))
+        while heap:
+            lowest = heapq.heappop(heap)
+            hit = np.unique(np.concatenate(waiting.pop(lowest)))
+            found = hit = hit[rank[hit] == lowest]
+            if not len(hit):
+                continue
+            fresh = np.r_[True, after[hit[:-1]] != hit[1:]]
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            if self.alone[lowest]:
+                # What follows a merge at once lies within a piece around it, so a place as far behind one that has
+                # such a follower as two pieces are long cannot be touched by it; nearer ones wait.
+                last = np.maximum.accumulate(np.where(followed(hit, lowest), hit, -self.reach))
+                wait = hit - np.r_[-self.reach, last[:-1]] < self.reach
+                if wait.any():
+                    waiting[lowest] = [found]
+                    heapq.heappush(heap, lowest)
+                    hit = hit[~wait]
+            gone = after[hit]
+            symbols[hit] = made[hit]
+            alive[gone] = False
+            rank[gone] = NONE
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            left = before[hit]
+            renew(np.union1d(hit, left[left >= 0]))
+        return int(np.maximum(-symbols[alive], 1).sum())
+
+
 class UnitCounts(dict):
     """Tokens by unit, merged in bounded batches."""
 
@@ -117,6 +192,10 @@ class UnitCounts(dict):
         for unit in units:
             if unit in self:
                 continue
+            if len(unit) >= LONG:
+                self[unit] = self.merger.count_long(unit)
+                self.held += len(unit)
+                continue
             batch.append(unit)
             size += len(unit)
             if size >= TOGETHER:

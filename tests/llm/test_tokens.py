@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -81,6 +82,20 @@ def test_counts_are_those_of_the_library(docs, texts, library):
     assert token_counts.count_tokens(docs.limit(0), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["thewhatandin", "ab", "aaaaa é🙂0", "XYZabc019+/=", "=-", "abcdefghijklmnopqrstuvwxyz"])
+def test_long_units_are_counted_as_short_ones(alphabet, library):
+    merger = token_counts.unit_counts(PIECES).merger
+    rng = random.Random(alphabet)
+    for _ in range(60):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300)))
+        units = merger.vocabulary.units(text)
+        assert [merger.count_long(u) for u in units] == merger.counts(units).tolist()
+    text = "".join(rng.choices(alphabet, k=100_000))
+    start = time.process_time()
+    assert sum(map(merger.count_long, merger.vocabulary.units(text))) == len(library.encode(text))
+    assert time.process_time() - start < 5
+
+
 def test_encoding_and_decoding_are_those_of_the_library(docs, texts, library):
     encoded = pieces.encode_texts(docs, PIECES)
     got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.text) for r in pieces.decode_texts(encoded, PIECES).collect()}
