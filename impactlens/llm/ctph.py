@@ -25,6 +25,8 @@ WANTED = 64  # chunks a text of random content is cut into, or up to half of it
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 # Bytes hashed at once; a longer text is gone through in slices that overlap by a window.
 AT_ONCE = 1 << 20
+# Text of a range: bounds what one task sorts.
+RANGE_BYTES = 32 << 20
 
 
 def chunk_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,9 @@ def dealt_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids are whole numbers; a null id comes last; equal ids are in the order of their texts.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * shuffle_partitions(spark)
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+        parts = max(2 * shuffle_partitions(spark), size // RANGE_BYTES + 1)
     least = F.lit(-(1 << 63))
     given = docs.select(
         F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")
