@@ -28,7 +28,7 @@ AT_ONCE = 1 << 18
 # Texts lower-cased and encoded at once.
 TEXTS = 200
 LETTER = re.compile(r"[^\W\d_]")
-NO_WORDS = re.compile(r"\w*[\d_]\w*|\W+")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def has_letter(text: str) -> bool:
@@ -37,8 +37,8 @@ def has_letter(text: str) -> bool:
 
 
 def words_alone(text: str) -> bytes:
-    """Lower-case words of letters, and a blank for whatever is between them: numbers, keys and signs are in no language."""
-    return NO_WORDS.sub(" ", text.lower()).encode()
+    """Lower-case letters, and a blank for whatever is between them: numbers, addresses and signs are in no language."""
+    return NO_LETTERS.sub(" ", text.lower()).encode()
 
 
 class Model:
@@ -160,8 +160,8 @@ class Model:
             share = 1 / np.exp2(np.minimum(lengths.min(axis=1, keepdims=True) - lengths, 0)).sum(axis=1)
         return langs, [s if t else 0.0 for t, s in zip(known, share.tolist(), strict=True)]
 
-    def within(self, texts: list[str | None]) -> tuple[list[str], list[bool]]:
-        """The language with the shortest code, `und` if there is none, and whether a text of it may cost so much.
+    def within(self, texts: list[str | None], asked: list[bool]) -> tuple[list[str], list[bool]]:
+        """The language with the shortest code, `und` if there is none, and, where asked, whether a text of it may cost so much.
 
         The words of a text may cost their bytes times the bound, and 8 bits for each byte at the start without
         a full context.
@@ -170,7 +170,7 @@ class Model:
         if not self.languages:
             return [UNDECIDED] * len(texts), [False] * len(texts)
         best = lengths.argmin(axis=1)
-        said = [words_alone(t) if b else b"" for t, b in zip(texts, known, strict=True)]
+        said = [words_alone(t) if b and ask else b"" for t, b, ask in zip(texts, known, asked, strict=True)]
         spent = np.concatenate([np.zeros(0), *(self.code_lengths(said[i : i + TEXTS])[range(len(said[i : i + TEXTS])), best[i : i + TEXTS]] for i in range(0, len(said), TEXTS))])
         fits = spent <= self.bounds[best] * np.array([len(t) for t in said], np.int64) + 8.0 * self.order
         return [self.languages[b] if t else UNDECIDED for t, b in zip(known, best.tolist(), strict=True)], fits.tolist()
@@ -311,22 +311,22 @@ def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its bound; that several languages are about as likely, as for a short text, rejects none, and neither
     do dear bytes reject a text with a label. Repeated rows are kept, an empty table gives no rows.
     """
-    found = within_bounds(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, bounded=True), text_col)
+    model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, bounded=True)
+    found = within_bounds(docs, model, text_col, F.col(lang_col).isNull())
     name = found.columns[-1]
-    lettered = F.col(f"{name}.lang") != UNDECIDED
-    kept = found.filter(lettered & (F.col(f"{name}.within") | F.col(lang_col).isNotNull()))
+    kept = found.filter((F.col(f"{name}.lang") != UNDECIDED) & F.col(f"{name}.within"))
     label = F.coalesce(F.col(lang_col), F.col(f"{name}.lang")).cast(docs.schema[lang_col].dataType).alias(lang_col)
     return kept.select(*[label if c.lower() == lang_col.lower() else F.col(c) for c in docs.columns])
 
 
-def within_bounds(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` and, last, struct<lang, within>: the language with the shortest code, `und` without a letter, and
-    whether that code is within what a text of the language may cost."""
+def within_bounds(docs: DataFrame, model: Model, text_col: str = "text", asked: Column | None = None) -> DataFrame:
+    """`docs` and, last, struct<lang, within>: the language with the shortest code, `und` without a letter, and,
+    for rows where it is asked, whether that code is within what a text of the language may cost."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang string, within boolean")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        langs, fits = shared.value.within([None if t is None else t for t in texts])
+    def judge(texts: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        langs, fits = shared.value.within([None if t is None else t for t in texts], asked.tolist())
         return pd.DataFrame({"lang": langs, "within": fits})
 
-    return docs.withColumn(unused(docs, "judged"), judge.asNondeterministic()(F.col(text_col).cast("string")))
+    return docs.withColumn(unused(docs, "judged"), judge.asNondeterministic()(F.col(text_col).cast("string"), F.lit(True) if asked is None else asked))

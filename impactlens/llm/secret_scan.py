@@ -187,12 +187,12 @@ def best_parts(token: Column, ratios: Column, min_score: float) -> Column:
 
 
 def most_score(token: Column, ratios: Column) -> Column:
-    """No part of a token can have a higher score: the sum of the ratios above 0 of its transitions."""
-    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))  # no token has the character 0
+    """No part of a token can have a higher score: the sum of `ratios`, those above 0, of its transitions."""
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))  # no token has the character 0, and its ratios are 0
     return F.aggregate(
-        F.filter(F.split(token, ""), lambda c: c != ""),
+        F.split(token, ""),
         start,
-        lambda acc, c: F.struct(F.ascii(c).alias("last"), (acc["sum"] + F.greatest(F.get(ratios, 128 * acc["last"] + F.ascii(c)), F.lit(0.0))).alias("sum")),
+        lambda acc, c: F.struct(F.ascii(c).alias("last"), (acc["sum"] + F.get(ratios, 128 * acc["last"] + F.ascii(c))).alias("sum")),
         lambda acc: acc["sum"],
     )
 
@@ -221,11 +221,11 @@ def find_spans(docs: DataFrame, ratios: Sequence[float], min_score: float = 15.0
     """
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     text_name, base_name, rest_name, runs_name = (unused(docs, n) for n in ("text", "base", "rest", "runs"))
-    table = number_array(ratios)
+    table, above = number_array(ratios), number_array(max(r, 0.0) for r in ratios)
     base, text, rest = F.col(base_name), F.col(text_name), F.col(rest_name)
     none = F.lit(None).cast("double")
     fixed = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), none.alias("score")))
-    runs = _spans(rest, TOKEN, "random", lambda match: most_score(match, table) >= min_score)
+    runs = _spans(rest, TOKEN, "random", lambda match: most_score(match, above) >= min_score)
     scored = F.flatten(
         F.transform(
             F.col(runs_name),
