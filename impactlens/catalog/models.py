@@ -61,8 +61,13 @@ def _finite(spark, report):
 
 
 def _finite_sql(*horizons: int) -> str:
-    names = ", ".join(f"'{m}_{h}'" for h in horizons for m in ("mae", "rmse", "r2", "spearman"))
-    return f"SELECT unnest([{names}]) AS metric, TRUE AS finite"
+    """Every metric of a horizon is a number where test papers have its label, and only there."""
+    days = {6: 183, 12: 365, 24: 730}
+    names = ", ".join(f"('{m}_{h}', {days[h]})" for h in horizons for m in ("mae", "rmse", "r2", "spearman"))
+    return f"""WITH {V.LABELLED}, p AS (SELECT published, epoch_us(published) AS s FROM labelled JOIN documents ON doc_id = paper_id),
+cut AS (SELECT CAST(floor(quantile_cont(s, 0.8)) AS BIGINT) AS t FROM p), tested AS (SELECT published FROM p, cut WHERE s > t)
+SELECT metric, count(published) > 1 AS finite FROM (VALUES {names}) m(metric, days)
+LEFT JOIN tested ON published <= TIMESTAMP '{V.AS_OF} 00:00:00' - to_days(days) GROUP BY 1"""
 
 
 @query("m1_train_baseline", _finite_sql(12))

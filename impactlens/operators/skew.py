@@ -11,6 +11,12 @@ from impactlens.storage import new_path
 ROWS_PER_TASK = 1_000_000
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Rows that fewer tasks than there are cores would read, dealt to all of them; a larger input as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def count_keys(df: DataFrame, key: str) -> DataFrame:
     """(key, cnt); counted map-side first, so a hot key costs nothing here."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
