@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from impactlens.catalog import views as V
 from impactlens.catalog.registry import query
 from impactlens.functions import columns as C
-from impactlens.operators import coauthors, embeddings, explain, meta_features, neighbours, signals, text_features
+from impactlens.operators import coauthors, embeddings, explain, lsh, meta_features, neighbours, signals, text_features
 from impactlens.sources import feed
 from impactlens.storage import durable
 
@@ -156,6 +156,17 @@ def j9(spark, sf):
     return near.withColumn("similarity", F.round("similarity", 9))
 
 
+@query(
+    "j9_lsh_recall",
+    f"""WITH {_NEAREST} SELECT count(DISTINCT paper_id) AS queries, count(*) AS wanted, TRUE AS reached FROM near WHERE paper_id % 50 = 0""",
+)
+def j9_lsh(spark, sf):
+    """Whether the approximate index over all vectors finds nine in ten of the exact neighbours of every fiftieth paper."""
+    rows = V.vectors(spark, sf).withColumn("query", F.col("paper_id") % 50 == 0)
+    measured = lsh.recall(lsh.approximate_nearest_older(rows, 5), neighbours.nearest_older(rows, 5))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _cites(spark, sf):
     return V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("paper_id")).agg(
         F.sum("l_quantity").cast("long").alias("cites")

@@ -30,11 +30,12 @@ def nearest_older(
     """(paper_id, neighbour, similarity, position): the k papers with smaller `age` and highest
     cosine similarity, equal similarities by neighbour id. Papers with fewer than k older ones get
     them all. `vectors` is (paper_id, embedding, age). A boolean column `candidate`, if there is
-    one, says who may be a neighbour. A vector of zeros has no direction: it neither has nor is one.
+    one, says who may be a neighbour, a column `query` for whom neighbours are wanted. A vector of zeros has no direction: it neither has nor is one.
     """
     candidate = F.col("candidate") if "candidate" in vectors.columns else F.lit(True)
+    asked = F.col("query") if "query" in vectors.columns else F.lit(True)
     rows = durable(
-        vectors.select("paper_id", F.col(age).alias("age"), "embedding", candidate.alias("candidate")).filter(
+        vectors.select("paper_id", F.col(age).alias("age"), "embedding", candidate.alias("candidate"), asked.alias("query")).filter(
             F.exists("embedding", lambda x: x != 0)
         )
     )
@@ -54,7 +55,7 @@ def nearest_older(
             older = np.where(ages[None, :] < f["age"].to_numpy()[:, None], d, np.inf)
             kth = np.partition(older, k - 1, axis=1)[:, k - 1] if older.shape[1] >= k else np.full(len(f), np.inf)
             cell = d.argmin(axis=1)
-            yield f[["paper_id", "age", "candidate"]].assign(
+            yield f[["paper_id", "age", "candidate", "query"]].assign(
                 cell=cell.astype("int32"), radius=d[np.arange(len(f)), cell], reach=kth,
                 to_pivots=[row.astype("float64") for row in d], vec=f["embedding"].map(lambda e: [float(x) for x in e]),
             )
@@ -64,7 +65,7 @@ def nearest_older(
     placed = durable(
         rows.mapInPandas(
             place,
-            f"paper_id {id_type}, age {age_type}, candidate BOOLEAN, cell INT, radius DOUBLE, reach DOUBLE, to_pivots ARRAY<DOUBLE>, vec ARRAY<DOUBLE>",
+            f"paper_id {id_type}, age {age_type}, candidate BOOLEAN, query BOOLEAN, cell INT, radius DOUBLE, reach DOUBLE, to_pivots ARRAY<DOUBLE>, vec ARRAY<DOUBLE>",
         )
     )
     # Of equal vectors only the k first by id can be among anyone's k nearest (ties go to the smaller
@@ -82,7 +83,7 @@ def nearest_older(
     # visit a cell only if some member may be within reach and older; the small slack is for rounding
     slack = 1e-9
     visits = durable(
-        placed.select("paper_id", "age", "vec", "reach", F.posexplode("to_pivots").alias("cell", "_d"))
+        placed.filter("query").select("paper_id", "age", "vec", "reach", F.posexplode("to_pivots").alias("cell", "_d"))
         .join(F.broadcast(cells), "cell")
         .filter(
             (F.col("age") > F.col("first"))
@@ -160,9 +161,10 @@ def neighbour_statistics(
     theirs = papers.filter(F.col(cites).isNotNull()).select(F.col("paper_id").alias("neighbour"), F.col("published").alias("_then"), F.col(cites).alias("_c"))
     days = F.datediff("_at", "_then")
     weight = F.exp(-F.greatest(days, F.lit(0)) / F.lit(tau_days))
-    # a paper has at most k neighbours, so an exact median per paper is small
+    # the join counts its left side before it reads it; a paper has at most k neighbours, so an exact median per paper is small
+    asked = durable(neighbours.select("paper_id", "neighbour").join(own, "paper_id"))
     return (
-        spread_join(neighbours.select("paper_id", "neighbour").join(own, "paper_id"), theirs, "neighbour")
+        spread_join(asked, theirs, "neighbour")
         .withColumn("_w", weight)
         .groupBy("paper_id")
         .agg(
@@ -179,7 +181,7 @@ def neighbour_growth(neighbours: DataFrame, yearly: DataFrame) -> DataFrame:
     """(paper_id, growth_slope): slope over years of the citations the neighbours got per year."""
     theirs = yearly.select(F.col("paper_id").alias("neighbour"), "year", "cited_by_count")
     per_year = (
-        spread_join(neighbours.select("paper_id", "neighbour"), theirs, "neighbour")
+        spread_join(durable(neighbours.select("paper_id", "neighbour")), theirs, "neighbour")
         .groupBy("paper_id", "year").agg(F.sum("cited_by_count").cast("double").alias("c"))
     )
     slope = F.covar_pop(F.col("year").cast("double"), F.col("c")) / F.nullif(F.var_pop("year"), F.lit(0.0))
