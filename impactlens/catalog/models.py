@@ -11,7 +11,7 @@ from impactlens.catalog import views as V
 from impactlens.catalog.labels import labelled, works_table
 from impactlens.catalog.registry import query
 from impactlens.operators import cohorts, embeddings, explain, labels, metrics
-from impactlens.plans import ranker, scoring, training
+from impactlens.plans import intervals, ranker, scoring, training
 from impactlens.storage import durable, new_path
 
 
@@ -106,6 +106,27 @@ def m5(spark, sf):
     return metrics.interval_coverage(rows).select("bin", F.col("coverage").between(0.4, 1.0).alias("plausible"))
 
 
+_COVERED = f"""WITH {V.LABELLED}, t AS (SELECT *, epoch_us(published) AS s FROM labelled),
+q AS (SELECT CAST(floor(quantile_cont(s, 0.8)) AS BIGINT) AS t FROM t)
+SELECT count(*) AS n, TRUE AS covers, TRUE AS ordered, TRUE AS varies, TRUE AS beats_constant FROM t, q WHERE s > q.t"""
+
+
+@query("m5_paper_intervals", _COVERED)
+def m5_intervals(spark, sf):
+    """On the test dates: whether the share of truths inside is 0.75 to 0.85, the widths differ from paper to paper, and
+    the upper ends have a lower pinball loss than the one quantile of the training dates for all."""
+    rows = durable(training.split_by_time(_meta_vectors(spark, sf)).select("paper_id", "split", F.col("y12").cast("double").alias("y12"), "features"))
+    fit, held, test = (rows.filter(F.col("split") == s) for s in ("train", "validation", "test"))
+    made = intervals.fit_intervals(fit, held)
+    scored = durable(made.add_to(test).withColumn("flat", F.lit(made.high.base)))
+    inside = F.avg(F.col("y12").between(F.col("q10"), F.col("q90")).cast("int")).between(0.75, 0.85)
+    loss = lambda c: F.avg(F.greatest(0.9 * (F.col("y12") - F.col(c)), -0.1 * (F.col("y12") - F.col(c))))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), inside.alias("covers"), F.min(F.col("q10") <= F.col("q90")).alias("ordered"),
+        (F.count_distinct(F.round(F.col("q90") - F.col("q10"), 6)) > 1).alias("varies"), (loss("q90") < loss("flat")).alias("beats_constant"),
+    )
+
+
 @query(
     "s10_weekly_scoring",
     f"""WITH {V.LABELLED} SELECT paper_id, primary_cat, strftime(published, '%Y-%m-%d %H:%M:%S') AS published, TRUE AS in_order FROM labelled
