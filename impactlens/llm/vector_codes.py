@@ -21,10 +21,12 @@ from impactlens.llm.columns import schema_of
 from impactlens.operators.skew import spread_join
 from impactlens.storage import new_path
 
-# Parts compared with all entries in one go: bounds the memory of a task.
-BLOCK = 2048
-# Coefficients summed before entries are struck out again.
+# Parts compared with all entries in one go: what they need stays in a processor's cache.
+BLOCK = 256
+# Coefficients summed before entries are struck out again; the pairs left are followed one by one once they are
+# no more than one in so many.
 STEP = 4
+FEW = 10
 # Values, transformed and squared, up to which sums stay within 64 bits; beyond it Python's integers do the work.
 SAFE = 1 << 62
 
@@ -59,17 +61,25 @@ def transform(points: np.ndarray, m: int) -> np.ndarray:
 def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of coefficients its nearest entry, of equals the first, and m times the squared distance."""
     n, m = points.shape
+    columns = np.ascontiguousarray(entries.T)
     reached = np.zeros((n, len(entries)), points.dtype)
-    for c in range(min(STEP, m)):
-        apart = points[:, c, None] - entries[None, :, c]
-        reached += apart * apart
-    apart = points - entries[reached.argmin(axis=1)]
-    bound = (apart * apart).sum(axis=1)
-    row, entry = np.nonzero(reached <= bound[:, None])
+    apart = np.empty_like(reached)
+    bound = None
+    for low in range(0, m, STEP):
+        for c in range(low, min(low + STEP, m)):
+            np.subtract(points[:, c, None], columns[c], out=apart)
+            np.multiply(apart, apart, out=apart)
+            reached += apart
+        whole = ((points - entries[reached.argmin(axis=1)]) ** 2).sum(axis=1)
+        bound = whole if bound is None else np.minimum(bound, whole)
+        alive = reached <= bound[:, None]
+        if FEW * np.count_nonzero(alive) <= alive.size:
+            break
+    row, entry = np.nonzero(alive)
     left = reached[row, entry]
-    for low in range(STEP, m, STEP):
-        apart = points[row, low : low + STEP] - entries[entry, low : low + STEP]
-        left = left + (apart * apart).sum(axis=1)
+    for low in range(low + STEP, m, STEP):
+        between = points[row, low : low + STEP] - entries[entry, low : low + STEP]
+        left = left + (between * between).sum(axis=1)
         stay = left <= bound[row]
         row, entry, left = row[stay], entry[stay], left[stay]
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[: len(row)]
