@@ -13,79 +13,95 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from impactlens.llm.columns import schema_of, text_of
 
-# Distinct words a Python worker keeps the ids of; beyond it the memory is emptied, results do not change.
-REMEMBERED = 400_000
+# Distinct words a Python worker keeps the ids of, in two generations; beyond it the words not seen for longest go.
+REMEMBERED = 1_000_000
+# Characters of a word that is kept.
+SHORT = 100
 # Rows of a result batch sent back at once.
 ROWS = 20_000
 
 # Byte-level pre-tokenisers never join a word to the blank behind it, so a text may be cut in front of
 # any blank that a visible character follows.
 WORD_STARTS = re.compile(r" (?=\S)")
+# Nor do they join a line end between visible characters to either: a text without other white space than
+# such line ends and blanks falls into the words of its lines.
+ODD_SPACE = re.compile(r"[^\S \n]")
+RUNS = ("  ", " \n", "\n ", "\n\n")
+# Signs that are a token of their own behind a word of letters.
+SIGNS = ".,;:!?"
+# Letters below this are letters to every version of Unicode.
+LATIN_END = "\u0250"
 
 
-# Fixed value: how byte-level tokenizers split a text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def merge_ranks(spec: dict) -> dict[bytes, int] | None:
-    """Byte strings by rank, or None if the file is not byte-level or its ids are not in the order of the merges."""
-    model, split = spec["model"], spec["pre_tokenizer"] or {}
-    plain = model["type"] == "BPE" and not spec["normalizer"] and split.get("type") == "ByteLevel"
-    if not plain or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("ignore_merges"):
-        return None
-    # Printable Latin-1 characters stand for their own byte, the other bytes for characters from U+0100 on.
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    vocab = model["vocab"]
-    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if merged != sorted(set(merged)) or any(c not in vocab for c in byte_of) or len(vocab) != 256 + len(merged):
-        return None
-    return {bytes(byte_of[c] for c in word): i for word, i in vocab.items()}
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file is of the byte-level kind, whose ids of a text are those of its words."""
+    split = spec["pre_tokenizer"] or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return bool(plain and spec["model"]["type"] == "BPE" and not spec["normalizer"])
 
 
 class WordIds(dict):
-    """Ids of a word as little-endian bytes, encoded when first asked for.
+    """Ids of a word behind a blank as little-endian bytes, encoded by the tokenizers library when first asked for.
 
-    A word goes to the merge tables of the tokenizer file through tiktoken, which is several times
-    faster on one word; this needs a plain byte-level file whose ids are in the order of its merges.
-    With any other file, or added tokens in a text, the whole text goes to the tokenizers library.
+    A text with added tokens in it, and any text for a file of another kind, goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranks = merge_ranks(json.loads(self.tokenizer.to_str()))
-        self.words = self.ranks and tiktoken.Encoding(
-            "words", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}
-        )
+        self.by_word = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
+        # Printable Latin-1 characters stand for their own byte, the other bytes for characters from U+0100 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        other = [b for b in range(256) if b not in shown]
+        self.spelling = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
+        self.line_end = self.direct("\n")
+        self.signs = {sign: self.direct(sign) for sign in SIGNS}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.words.encode_ordinary(word), "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 100:
+        """Ids of a blank and the word; of the word alone if it begins with a line end."""
+        ids = self.older.get(word)
+        if ids is None:
+            plain = word[1:] if word[:1] == "\n" else " " + word
+            if word[-1:] in self.signs and word[:-1].lstrip("\n").isalpha():
+                ids = self[word[:-1]] + self.signs[word[-1]]
+            elif plain.lstrip().isalpha() and max(plain) < LATIN_END:
+                # letters are one token to be, which the file's model merges without the steps before it
+                spelled = "".join(map(self.spelling.__getitem__, plain.encode()))
+                ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            else:
+                ids = self.direct(plain)
+        if len(word) <= SHORT:
+            if 2 * len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The tokenizer's ids of a whole text, without added special tokens."""
-        if not self.words or any(s in text for s in self.special):
+        if not self.by_word or any(s in text for s in self.special):
             return self.direct(text)
-        first, *rest = WORD_STARTS.split(text)
-        ids = [self[first]] if first else []
-        ids += [self[" " + word] for word in rest]
-        return b"".join(ids)
+        if any(run in text for run in RUNS) or text[:1] in " \n" or text[-1:] in " \n" or ODD_SPACE.search(text):
+            first, *rest = WORD_STARTS.split(text)
+            return (self.direct(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        get = self.__getitem__
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(get("\n" + first) + b"".join(map(get, rest)))
+        return self.line_end.join(lines)
 
 
 @lru_cache(maxsize=4)
