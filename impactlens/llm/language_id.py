@@ -172,7 +172,7 @@ class Model:
         best = lengths.argmin(axis=1)
         said = [words_alone(t) if b and ask else b"" for t, b, ask in zip(texts, known, asked, strict=True)]
         spent = np.concatenate([np.zeros(0), *(self.code_lengths(said[i : i + TEXTS])[range(len(said[i : i + TEXTS])), best[i : i + TEXTS]] for i in range(0, len(said), TEXTS))])
-        fits = spent <= self.bounds[best] * np.array([len(t) for t in said], np.int64) + 8.0 * self.order
+        fits = spent <= self.bounds[best] * np.array([max(len(t), 1) for t in said], np.int64) + 8.0 * self.order
         return [self.languages[b] if t else UNDECIDED for t, b in zip(known, best.tolist(), strict=True)], fits.tolist()
 
 
