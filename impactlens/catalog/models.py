@@ -11,7 +11,7 @@ from impactlens.catalog import views as V
 from impactlens.catalog.labels import labelled, works_table
 from impactlens.catalog.registry import query
 from impactlens.operators import cohorts, embeddings, explain, labels, metrics
-from impactlens.plans import intervals, ranker, scoring, training
+from impactlens.plans import counts, intervals, ranker, scoring, training
 from impactlens.storage import durable, new_path
 
 
@@ -221,6 +221,24 @@ def m8(spark, sf):
     )
 
 
+@query(
+    "m8_zero_inflated",
+    f"""WITH {V.LABELLED}, t AS (SELECT *, epoch_us(published) AS s FROM labelled),
+q AS (SELECT CAST(floor(quantile_cont(s, 0.8)) AS BIGINT) AS t FROM t)
+SELECT count(*) AS n, sum(y12)::BIGINT AS cites, TRUE AS never_negative, TRUE AS beats_hurdle FROM t, q WHERE s > q.t""",
+)
+def m8_inflated(spark, sf):
+    """Whether the test dates are likelier under the zero-inflated model than under the hurdle with its Poisson counts."""
+    rows = durable(training.split_by_time(_meta_vectors(spark, sf)).select("paper_id", "split", F.col("y12").cast("double").alias("y12"), "features"))
+    fit, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    y, made = F.col("y12"), counts.fit_zero_inflated(fit)
+    scored = made.add_to(training.hurdle(fit)(test).drop("prediction"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).cast("long").alias("cites"), (F.min("prediction") >= 0).alias("never_negative"),
+        (F.sum(made.log_chance(y)) > F.sum(counts.hurdle_log_chance(y, F.col("chance"), F.col("amount")))).alias("beats_hurdle"),
+    )
+
+
 _CUTS = ("1998-01-01", "1998-04-01", "1998-07-01", "1998-10-01")
 _FIT_ERROR = """count(*) AS n, round(avg(abs(e)), 6) AS mae, round(1 - sum(e * e) / nullif(var_pop(y12) * count(*), 0), 6) AS r2"""
 
@@ -280,6 +298,19 @@ def x2(spark, sf):
     )
 
 
+@query("x2_background_attributions", _EXPLAINED)
+def x2_background(spark, sf):
+    """Against the background sample, attributions and the sample's mean prediction give the prediction for every paper."""
+    papers, made = _meta_trained(spark, sf)
+    scored = durable(training.predict(papers, made).select("paper_id", "features", "prediction"))
+    sample = durable(explain.background_sample(scored))
+    phi = explain.background_attributions(scored, made.models[12].stages[-1], sample)
+    mean, total = sample.agg(F.avg("prediction")).scalar(), F.aggregate("phi", F.col("baseline"), lambda s, v: s + v)
+    return phi.join(scored.select("paper_id", "prediction"), "paper_id").withColumn("mean", mean).select(
+        "paper_id", ((F.abs(total - F.col("prediction")) < 1e-6) & (F.abs(F.col("baseline") - F.col("mean")) < 1e-6)).alias("ok")
+    )
+
+
 @query("x3_x4_paper_explanations", _EXPLAINED)
 def x34(spark, sf):
     """Every paper is explained by at most ten features of either sign, whose sum never passes the prediction's distance."""

@@ -8,7 +8,7 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from impactlens.storage import new_path
 
@@ -74,13 +74,8 @@ def leaf_shapley(x: np.ndarray, value: float, path: list[tuple], phi: np.ndarray
         phi[:, path[a][0]] += value * (hit[:, a] - path[a][2]) * (poly @ weights)
 
 
-def tree_attributions(df: DataFrame, model, features: str = "features", key: str = "paper_id") -> DataFrame:
-    """(key, phi, baseline) for a fitted tree ensemble; phi sums to prediction - baseline.
-
-    The node table of the model (trees x nodes, set by its depth) goes to the tasks; rows are
-    explained in Arrow batches wherever they lie, all of them.
-    """
-    spark = df.sparkSession
+def _trees(spark: SparkSession, model) -> list[tuple]:
+    """(weight, leaves, mean) of each tree of a fitted model."""
     path = new_path(spark, "trees")
     model.write().save(path)
     stored = spark.read.parquet(f"{path}/data")
@@ -93,6 +88,17 @@ def tree_attributions(df: DataFrame, model, features: str = "features", key: str
     parsed = [(scale[t], *_paths(nodes)) for t, nodes in sorted(trees.items())]
     if model.__class__.__name__.startswith("RandomForest"):
         parsed = [(1.0 / len(parsed), leaves, mean) for _, leaves, mean in parsed]
+    return parsed
+
+
+def tree_attributions(df: DataFrame, model, features: str = "features", key: str = "paper_id") -> DataFrame:
+    """(key, phi, baseline) for a fitted tree ensemble; phi sums to prediction - baseline.
+
+    The node table of the model (trees x nodes, set by its depth) goes to the tasks; rows are
+    explained in Arrow batches wherever they lie, all of them.
+    """
+    spark = df.sparkSession
+    parsed = _trees(spark, model)
     baseline = sum(w * mean for w, _, mean in parsed)
     shared = spark.sparkContext.broadcast(parsed)
 
@@ -110,6 +116,74 @@ def tree_attributions(df: DataFrame, model, features: str = "features", key: str
     return rows.mapInPandas(run, f"{key} {id_type}, phi ARRAY<DOUBLE>").withColumn("baseline", F.lit(baseline))
 
 
+def _hits(x: np.ndarray, path: list[tuple]) -> np.ndarray:
+    """(row, feature of the path): whether the row's value lets it go on to the leaf."""
+    return np.stack([_holds(x[:, f], tests) for f, tests, _ in path], axis=1) if path else np.zeros((len(x), 0), bool)
+
+
+def leaf_contrast(hit: np.ndarray, other: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """(row, feature of the path): a leaf's Shapley values of value 1 against rows `other` that weigh `share`.
+
+    With a features that only the row satisfies and b that only the other does, the leaf is reached by the coalitions
+    that hold all of the a and none of the b, wherefore each of the a gains (a-1)! b! / (a+b)! and each of the b loses
+    a! (b-1)! / (a+b)!. A feature that neither satisfies leaves nothing to gain.
+    """
+    m = hit.shape[1]
+    gain, loss = np.zeros((m + 1, m + 1)), np.zeros((m + 1, m + 1))
+    for a in range(m + 1):
+        for b in range(m + 1 - a):
+            if a:
+                gain[a, b] = factorial(a - 1) * factorial(b) / factorial(a + b)
+            if b:
+                loss[a, b] = factorial(a) * factorial(b - 1) / factorial(a + b)
+    phi = np.zeros(hit.shape)
+    for theirs, weight in zip(other, share, strict=True):
+        own, not_own = hit & ~theirs, ~hit & theirs
+        a, b = own.sum(axis=1), not_own.sum(axis=1)
+        reached = weight * (hit | theirs).all(axis=1)
+        phi += own * (reached * gain[a, b])[:, None] - not_own * (reached * loss[a, b])[:, None]
+    return phi
+
+
+def background_attributions(
+    df: DataFrame, model, background: DataFrame, features: str = "features", key: str = "paper_id", most: int = 1000
+) -> DataFrame:
+    """(key, phi, baseline) for a fitted tree ensemble: exact Shapley values where a feature that is left out has the
+    value of a background row, averaged over them. phi sums to prediction - baseline, the background's mean prediction.
+
+    `background` is a small sample, as of `background_sample`; none, or more than `most` rows, raise ValueError. The
+    driver turns it into the patterns in which its rows meet each leaf, with their shares; those go to the tasks with
+    the node table, the rows themselves do not. In a batch the rows that meet a leaf in one pattern are explained once.
+    """
+    spark = df.sparkSession
+    sample = background.select(vector_to_array(features).alias("x")).limit(most + 1).collect()
+    if not 0 < len(sample) <= most:
+        raise ValueError(f"the background has to have 1 to {most} rows")
+    z = np.array([r["x"] for r in sample])
+    met, baseline = [], 0.0
+    for weight, leaves, _ in _trees(spark, model):
+        for value, path in leaves:
+            other, count = np.unique(_hits(z, path), axis=0, return_counts=True) if path else (np.zeros((1, 0), bool), np.array([len(z)]))
+            share = count / len(z)
+            baseline += weight * value * share[other.all(axis=1)].sum()
+            met.append((weight * value, path, other, share))
+    shared = spark.sparkContext.broadcast(met)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, 1))
+            phi = np.zeros_like(x)
+            for value, path, other, share in shared.value:
+                if path and len(x):
+                    hit, at = np.unique(_hits(x, path), axis=0, return_inverse=True)
+                    phi[:, [f for f, _, _ in path]] += value * leaf_contrast(hit, other, share)[at.ravel()]
+            yield pd.DataFrame({key: frame[key], "phi": list(phi)})
+
+    id_type = df.schema[key].dataType.simpleString()
+    rows = df.select(key, vector_to_array(features).alias("x"))
+    return rows.mapInPandas(run, f"{key} {id_type}, phi ARRAY<DOUBLE>").withColumn("baseline", F.lit(float(baseline)))
+
+
 def feature_name(position: Column, names: Sequence[str] | None) -> Column:
     unnamed = F.concat(F.lit("feature_"), position)
     if not names:

@@ -21,7 +21,6 @@ from impactlens.storage import durable
 
 PIVOTS = 256
 BLOCK = 4096
-MAX_FIELDS = 1000
 
 
 def nearest_older(
@@ -194,7 +193,8 @@ def impact_proximity(papers: DataFrame, top_share: float = 0.1) -> DataFrame:
 
     `papers` is (paper_id, primary_cat, pub_year, cites, embedding). The mean cosine to a set is the
     product with the set's mean unit vector, so it needs sums only. For the maximum the field joins
-    the vector as extra axes, long enough that another field's paper is never nearer.
+    the vector as extra axes, as many as its number has bits, long enough that another field's paper
+    is never nearer.
     """
     unit = F.transform("embedding", lambda x: x.cast("double") / F.nullif(C.norm(F.col("embedding")), F.lit(0.0)))
     rows = durable(papers.dropna(subset=["primary_cat", "pub_year"]).withColumn("_unit", unit))
@@ -223,18 +223,21 @@ def impact_proximity(papers: DataFrame, top_share: float = 0.1) -> DataFrame:
     means = spread_join_on(marked, history, ["primary_cat", "pub_year"], counts=sizes).select(
         "paper_id", C.dot(F.col("_unit"), F.col("_mean")).alias("mean_similarity")
     )
-    fields = [r[0] for r in marked.select("primary_cat").distinct().orderBy("primary_cat").limit(MAX_FIELDS + 1).collect()]
-    if len(fields) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} fields")
+    # the number of a field in their order, in binary: two fields differ in one axis at least, however many there are
+    numbers = ordered_counts(marked.select("primary_cat").distinct(), "primary_cat").select("primary_cat", F.col("before").alias("_field"), "total")
+    numbers = durable(numbers)
+    n_axes = max(1, ((numbers.agg(F.max("total")).first()[0] or 1) - 1).bit_length())
     far = 2.0
-    axis = F.transform(F.array(*map(F.lit, fields)), lambda f: F.when(f == F.col("primary_cat"), far).otherwise(0.0))
-    placed = marked.select("paper_id", "pub_year", "candidate", F.concat("_unit", axis).alias("embedding"))
+    axis = F.array(*[F.when(F.getbit("_field", F.lit(i)) == 1, far).otherwise(-far) for i in range(n_axes)])
+    placed = spread_join(marked, numbers.drop("total"), "primary_cat").select(
+        "paper_id", "pub_year", "candidate", F.concat("_unit", axis).alias("embedding")
+    )
     field = marked.select("paper_id", "primary_cat")
     nearest = nearest_older(placed, 1, "pub_year").select("paper_id", "neighbour", "similarity")
     best = (
         nearest.join(field, "paper_id")
         .join(field.select(F.col("paper_id").alias("neighbour"), F.col("primary_cat").alias("_theirs")), "neighbour")
         .filter(F.col("primary_cat") == F.col("_theirs"))
-        .select("paper_id", (F.col("similarity") * (1 + far * far) - far * far).alias("max_similarity"))
+        .select("paper_id", (F.col("similarity") * (1 + n_axes * far * far) - n_axes * far * far).alias("max_similarity"))
     )
     return means.join(best, "paper_id")

@@ -192,7 +192,8 @@ def predict_with_uncertainty(papers: DataFrame, artifacts: Artifacts, horizon: i
 
 
 def hurdle(train_rows: DataFrame, label: str = "y12", features: str = "features") -> Callable[[DataFrame], DataFrame]:
-    """Chance of any citation times the Poisson mean of the cited; returns a scoring function."""
+    """Chance of any citation times the Poisson mean of the cited; returns a scoring function, which adds
+    `chance`, `amount` and their product `prediction`."""
     any_cite = LogisticRegression(labelCol="_any", featuresCol=features, probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r")
     amount = GeneralizedLinearRegression(
         family="poisson", link="log", labelCol=label, featuresCol=features, predictionCol="_amount", regParam=0.01, maxIter=25
@@ -202,7 +203,8 @@ def hurdle(train_rows: DataFrame, label: str = "y12", features: str = "features"
 
     def score(df: DataFrame) -> DataFrame:
         both = mean.transform(chance.transform(df))
-        return both.withColumn("prediction", vector_to_array("_p")[1] * F.col("_amount")).drop("_p", "_c", "_r", "_amount")
+        parts = both.withColumns({"chance": vector_to_array("_p")[1], "amount": F.col("_amount")}).drop("_p", "_c", "_r", "_amount")
+        return parts.withColumn("prediction", F.col("chance") * F.col("amount"))
 
     return score
 

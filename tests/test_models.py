@@ -152,6 +152,55 @@ def test_tree_attributions_equal_brute_force(spark):
             assert r["phi"] == pytest.approx(list(want))
 
 
+def background_value(nodes, x, z, subset):
+    """The leaf of a row with x's values for the features of the subset, z's for the others."""
+    at = 0
+    while nodes[at]["leftChild"] >= 0:
+        node = nodes[at]
+        f = node["split"]["featureIndex"]
+        left = (x if f in subset else z)[f] <= node["split"]["leftCategoriesOrThreshold"][0]
+        at = node["leftChild"] if left else node["rightChild"]
+    return nodes[at]["prediction"]
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_background_attributions_equal_enumeration(spark, kind):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    x = rng.normal(size=(90, 4)).round(1)  # ties and repeated values
+    rows = spark.createDataFrame([(i, *map(float, v), float(v[0] * v[1] + v[2])) for i, v in enumerate(x)], "paper_id INT, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, y DOUBLE")
+    rows = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(rows).persist()
+    learner = GBTRegressor(labelCol="y", maxIter=3, maxDepth=4, seed=1) if kind == "boosted" else RandomForestRegressor(labelCol="y", numTrees=3, maxDepth=4, seed=1)
+    model = learner.fit(rows)
+    sample = explain.background_sample(rows, 12)
+    out = explain.background_attributions(rows, model, sample).join(model.transform(rows).select("paper_id", "prediction"), "paper_id").collect()
+    assert len(out) == 90
+    mean = model.transform(sample).agg(F.avg("prediction")).first()[0]
+    path = new_path(spark, "trees")
+    model.write().save(path)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        node = r["nodeData"].asDict(recursive=True)
+        trees.setdefault(r["treeID"], {})[node["id"]] = node
+    scale = list(model.treeWeights) if kind == "boosted" else [1 / 3] * 3
+    z = [x[r["paper_id"]] for r in sample.select("paper_id").collect()]
+    for r in out:
+        assert r["baseline"] == pytest.approx(mean) and r["baseline"] + sum(r["phi"]) == pytest.approx(r["prediction"])
+        if r["paper_id"] < 6:
+            want = np.zeros(4)
+            for f in range(4):
+                rest = [g for g in range(4) if g != f]
+                for s in (set(c) for size in range(4) for c in itertools.combinations(rest, size)):
+                    weight = factorial(len(s)) * factorial(3 - len(s)) / factorial(4)
+                    gains = [scale[t] * (background_value(n, x[r["paper_id"]], b, s | {f}) - background_value(n, x[r["paper_id"]], b, s)) for t, n in trees.items() for b in z]
+                    want[f] += weight * sum(gains) / len(z)
+            assert r["phi"] == pytest.approx(list(want))
+    with pytest.raises(ValueError, match="background"):
+        explain.background_attributions(rows, model, sample.limit(0))
+    assert explain.background_attributions(rows.limit(0), model, sample).count() == 0
+
+
 def test_ranker_improves_on_no_ranking(spark):
     from pyspark.ml.feature import VectorAssembler
 
