@@ -209,7 +209,8 @@ def fit(
     limit = F.least(F.lit(1.0), 2.0 * per_language / F.col("rows")) * float(1 << 63)
     limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", limit.alias("limit"))
     place = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 63) - 1))
-    near = rows.withColumn("place", place).join(limits, "lang").filter(F.col("place") <= F.col("limit"))
+    # One row a language, as the model has a column for each: sent to the texts, which are else all shuffled by language.
+    near = rows.withColumn("place", place).join(F.broadcast(limits), "lang").filter(F.col("place") <= F.col("limit"))
     number = F.row_number().over(W.partitionBy("lang").orderBy("place", "id", "text"))
     chosen = near.select("lang", "text", number.alias("number")).filter(F.col("number") <= per_language)
     sample = chosen.select("lang", "text", (F.col("number") % 2 if bounded else F.lit(0)).alias("half"))
