@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from impactlens.catalog import QUERIES
-from impactlens.operators import centrality, coauthors, neighbours, ordering, ranking, skew, subscribers
+from impactlens.operators import centrality, coauthors, graph_features, neighbours, ordering, ranking, skew, subscribers
 from impactlens.plans import ranker
 
 rng = np.random.default_rng(7)
@@ -214,3 +214,28 @@ def test_scan_reads_only_what_is_asked(spark, sf):
     plan = QUERIES["s8_dataset_scan"](spark, sf)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
     assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_wedges_travel_as_lists(spark):
+    """No row of a wedge is shuffled: the ends behind an edge go to its middle as one list."""
+    inc, _ = random_graph(spark)
+    plan = centrality.clustering(coauthors.coauthor_edges(inc))._jdf.queryExecution().toString()
+    assert "array_intersect" in plan
+
+
+@pytest.mark.parametrize("limits", [{}, {"rows_per_task": 7, "block": 3}])
+def test_network_sizes_of_papers_dealt_to_tasks(spark, limits):
+    inc, w = random_graph(spark)
+    edges = coauthors.coauthor_edges(inc)
+    rows = inc.select("paper_id", "author").collect()
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["u"], set()).add(r["v"])
+        near.setdefault(r["v"], set()).add(r["u"])
+    want = {}
+    for r in rows:
+        want.setdefault(r["paper_id"], set()).update(near.get(r["author"], ()))
+    found = graph_features.network_sizes(inc.select("paper_id", "author"), edges, **limits)
+    got = {r["paper_id"]: r["coauthor_network_size"] for r in found.collect()}
+    assert got == {p: len(names) for p, names in want.items() if names}
+    assert "array_distinct" in found._jdf.queryExecution().toString()
