@@ -172,6 +172,30 @@ def test_models_tell_unseen_addresses(spark):
     assert np.mean([(r.verdict == "allow") == (r.page_id % 2 == 1) for r in got]) > 0.97
 
 
+def test_every_address_is_learned_from(spark):
+    """Of 30,000 rejected addresses and one accepted shape, what was seen once still counts."""
+    rows = spark.range(60_000).selectExpr("id AS page_id", "concat(if(id % 2 = 0, 'good', 'bad'), id % 60000, '.net/') AS url", "id % 2 = 0 AS accepted")
+    machine = url_filter.train(rows, order=1, most_states=100)
+    seen = rows.select(url_filter.spelled(F.col("url")).alias("text")).distinct().filter(F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)) == 0).collect()
+    samples = [(int(r.text.startswith("good")), r.text) for r in seen]
+    assert len(samples) > 25_000
+    texts = ["good17.net/", "bad99.net/", "god-1"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", machine.score(F.col("text")).alias("s")).collect()
+    for r in got:
+        assert math.isclose(r.s, plain_score(r.text, samples, 1, set(machine.states)), rel_tol=1e-6, abs_tol=1e-9), r.text
+
+
+def test_bound_of_many_steps():
+    rng = random.Random(8)
+    scored = [(side, rng.randint(-40, 40) + 15 * side, rng.randint(1, 9)) for side in (False, True) for _ in range(60)]
+    lost = lambda at: (
+        1 - sum(n for s, i, n in scored if not s and i < at) / sum(n for s, _, n in scored if not s)
+        + sum(n for s, i, n in scored if s and i < at) / sum(n for s, _, n in scored if s)
+    )
+    got = url_filter._bound(scored)
+    assert lost(got * url_filter.STEPS) == min(lost(at) for at in range(-60, 80))
+
+
 # vector codes
 
 
