@@ -308,12 +308,12 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose text is in a language learned from the labelled ones, unlabelled rows labelled.
 
-    Rejected are texts that are `und`, and unlabelled ones whose bytes cost more in the best language than
-    its bound; that several languages are about as likely, as for a short text, rejects none, and neither
-    do dear bytes reject a text with a label. Repeated rows are kept, an empty table gives no rows.
+    Rejected are texts that are `und`, and those whose bytes cost more in the best language than its bound,
+    whether they have a label or not; that several languages are about as likely, as for a short text,
+    rejects none. Repeated rows are kept, an empty table gives no rows.
     """
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, bounded=True)
-    found = within_bounds(docs, model, text_col, F.col(lang_col).isNull())
+    found = within_bounds(docs, model, text_col)
     name = found.columns[-1]
     kept = found.filter((F.col(f"{name}.lang") != UNDECIDED) & F.col(f"{name}.within"))
     label = F.coalesce(F.col(lang_col), F.col(f"{name}.lang")).cast(docs.schema[lang_col].dataType).alias(lang_col)

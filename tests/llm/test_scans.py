@@ -342,3 +342,16 @@ def test_texts_in_no_learned_language_go_and_short_ones_stay(spark):
     kept = language_id.known_language(spark.createDataFrame([r for r in rows if r[2] != "hr"] + [(101, rows[61][1], None)], "doc_id long, text string, lang string"))
     got = {r.doc_id: r.lang for r in kept.collect()}
     assert got == {i: lang for i, _, lang in rows[:60]} | {103: "en", 104: "de", 105: "de"}
+
+
+def test_a_label_does_not_save_a_text_in_no_learned_language(spark):
+    rng = random.Random(4)
+    words = {"en": "the of and house water people under little great morning", "de": "der und die haus wasser leute unter kleine morgen über"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(60)), lang) for i, lang in enumerate(["en", "de"] * 400)]
+    text = "Это предложение на русском языке, которое модель не знает " * 3
+    # the id that hashes highest is not among the 300 rows of its language that are learned from
+    place = F.xxhash64(F.col("id").cast("string"), F.lit(text)).bitwiseAND(F.lit((1 << 63) - 1))
+    strange = [(spark.range(1000, 1100).orderBy(place.desc()).first().id, text, "de")]
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string")
+    kept = language_id.known_language(docs).collect()
+    assert {r.doc_id for r in kept} == {i for i, _, _ in rows}
