@@ -100,6 +100,22 @@ def test_svd_keeps_the_gram_matrix_and_pads(spark):
     assert z @ z.T == pytest.approx(x @ x.T, abs=1e-8)
 
 
+def test_svd_finds_the_singular_vectors_in_few_passes(spark):
+    from pyspark.ml.linalg import Vectors
+
+    draw = np.random.default_rng(5)
+    a = np.where(draw.random((200, 700)) < 0.05, draw.random((200, 700)), 0.0) * np.linspace(1, 0.01, 700)
+    a[7] = 0.0
+    rows = [(Vectors.dense(r) if i % 2 else Vectors.sparse(700, np.flatnonzero(r).tolist(), r[r != 0].tolist()),) for i, r in enumerate(a)]
+    spark.sparkContext.setJobGroup("few passes", "")
+    got = text_features.svd_basis(spark.createDataFrame(rows, ["v"]).repartition(3), "v", 40)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few passes")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = np.linalg.svd(a)[2][:40].T
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-8)
+    assert len(jobs) < 50  # one vector at a time took two jobs for each of some eighty
+
+
 def test_min_df_falls_back_when_it_prunes_all(spark):
     rows = spark.createDataFrame([(1, "only here", "")], "paper_id INT, title STRING, abstract STRING")
     assert text_features.tfidf(rows, min_df=5).count() == 3
