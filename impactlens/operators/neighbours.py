@@ -2,12 +2,13 @@
 
 Papers are grouped around pivots, the oldest papers, which are neighbours open to all younger ones:
 a paper's k-th nearest pivot bounds how far its k-th neighbour can be. By the triangle inequality
-most groups lie beyond that bound and are never compared. What is left is compared in blocks of
-bounded size inside tasks, each of which hands on only k rows per query.
+most groups lie beyond that bound and are never compared. What is left is compared in tasks of two
+blocks of bounded size, each of which hands on only k rows per query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,11 @@ from impactlens.storage import durable
 
 PIVOTS = 256
 BLOCK = 4096
+# Papers on either side of a task, and queries it compares at once.
+TASK = 65_536
+ASKED = 1024
+# For rounding, where a cell is left out.
+SLACK = 1e-9
 
 
 def nearest_older(
@@ -40,7 +46,8 @@ def nearest_older(
     )
     spark = rows.sparkSession
     # about one pivot per block of papers, at most `pivots`
-    n_pivots = max(k, min(pivots, rows.count() // block))
+    n_rows = rows.count()
+    n_pivots = max(k, min(pivots, n_rows // block))
     oldest = rows.filter("candidate").orderBy("age", "paper_id").limit(n_pivots).collect()
     if not oldest:
         kind = rows.schema["paper_id"].dataType.simpleString()
@@ -56,15 +63,14 @@ def nearest_older(
             cell = d.argmin(axis=1)
             yield f[["paper_id", "age", "candidate", "query"]].assign(
                 cell=cell.astype("int32"), radius=d[np.arange(len(f)), cell], reach=kth,
-                to_pivots=[row.astype("float64") for row in d], vec=f["embedding"].map(lambda e: [float(x) for x in e]),
+                vec=f["embedding"].map(lambda e: (np.asarray(e, dtype=np.float64) + 0.0).tobytes()),
             )
 
     id_type = rows.schema["paper_id"].dataType.simpleString()
     age_type = rows.schema["age"].dataType.simpleString()
     placed = durable(
         rows.mapInPandas(
-            place,
-            f"paper_id {id_type}, age {age_type}, candidate BOOLEAN, query BOOLEAN, cell INT, radius DOUBLE, reach DOUBLE, to_pivots ARRAY<DOUBLE>, vec ARRAY<DOUBLE>",
+            place, f"paper_id {id_type}, age {age_type}, candidate BOOLEAN, query BOOLEAN, cell INT, radius DOUBLE, reach DOUBLE, vec BINARY"
         )
     )
     # Of equal vectors only the k first by id can be among anyone's k nearest (ties go to the smaller
@@ -74,60 +80,56 @@ def nearest_older(
         placed.filter("candidate").select("paper_id", "age", "cell", "radius", "vec")
         .withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= k).drop("_copy")
     )
-    cells = durable(
-        members.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("radius").alias("inner"), F.max("radius").alias("outer"), F.min("age").alias("first")
-        )
-    )  # one row per pivot
-    # visit a cell only if some member may be within reach and older; the small slack is for rounding
-    slack = 1e-9
-    visits = durable(
-        placed.filter("query").select("paper_id", "age", "vec", "reach", F.posexplode("to_pivots").alias("cell", "_d"))
-        .join(F.broadcast(cells), "cell")
-        .filter(
-            (F.col("age") > F.col("first"))
-            & (F.col("_d") - F.col("outer") <= F.col("reach") + slack)
-            & (F.col("inner") - F.col("_d") <= F.col("reach") + slack)
-        )
-        .select("paper_id", "age", "vec", "cell")
-    )
-    known = cells.select("cell", "n").collect()
-    load = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}  # one row per pivot
-    m_blocks = {r["cell"]: -(-r["n"] // block) for r in known}
-    q_blocks = {c: -(-load.get(c, 0) // block) or 1 for c in m_blocks}
+    # one row per pivot
+    known = members.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("radius").alias("inner"), F.max("radius").alias("outer"), F.min("age").alias("first")
+    ).orderBy("cell").collect()
+    load = {r["cell"]: r["count"] for r in placed.filter("query").groupBy("cell").count().collect()}
+    # a task compares two blocks: large ones are copied seldom, but a small table still fills the cores
+    per_side = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))
+    size = min(TASK, max(block // 4, 1, -(-n_rows // per_side)))
+    q_blocks, m_blocks = _packed(load, size), _packed({r["cell"]: r["n"] for r in known}, size)
 
-    def number(blocks: dict[int, int]):
-        return F.create_map(*[x for c, n in blocks.items() for x in (F.lit(c), F.lit(n))])[F.col("cell")]
+    def numbered(df: DataFrame, name: str, blocks: dict[int, tuple[int, int]]) -> DataFrame:
+        first, parts = (F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b[i])])[F.col("cell")] for i in (0, 1))
+        return df.withColumn(name, first + F.pmod(F.hash("paper_id"), parts))
 
-    def laid_out(df: DataFrame, own: str, own_blocks: dict, other: str, other_blocks: dict) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.hash("paper_id"), number(own_blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), number(other_blocks) - 1))
-        )
+    asking = numbered(placed.filter("query").select("paper_id", "age", "cell", "reach", "vec"), "_q", q_blocks or {0: (0, 1)})
 
-    queries = laid_out(visits, "_q", q_blocks, "_m", m_blocks)
-    candidates = laid_out(members, "_m", m_blocks, "_q", q_blocks)
+    def visited(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The blocks with a member that may be within reach and older."""
+        points = centres.value[0][[r["cell"] for r in known]]
+        inner, outer = (np.array([r[c] for r in known]) for c in ("inner", "outer"))
+        first = np.array([r["first"] for r in known])
+        for f in frames:
+            d, reach = _distance(_unit(_stacked(f["vec"])), points), f["reach"].to_numpy()[:, None] + SLACK
+            near = (first[None, :] < f["age"].to_numpy()[:, None]) & (d - outer <= reach) & (inner - d <= reach)
+            for q in f["_q"].unique():
+                cells = np.flatnonzero(near[(f["_q"] == q).to_numpy()].any(axis=0))
+                blocks = {b for c in cells for b in range(m_blocks[known[c]["cell"]][0], sum(m_blocks[known[c]["cell"]]))}
+                yield pd.DataFrame({"_q": q, "_m": sorted(blocks)}).astype("int32")
+
+    # two numbers for each pair of blocks, of which there are few: a thousand blocks hold 65 million papers
+    pairs = F.broadcast(durable(asking.select("vec", "age", "reach", "_q").mapInPandas(visited, "_q INT, _m INT").distinct()))
+    queries = asking.join(pairs, "_q")
+    candidates = numbered(members, "_m", m_blocks).join(pairs, "_m")
     # both sides stem from the same rows: fresh names keep their columns apart in the cogroup
-    candidates = candidates.select(*[F.col(c).alias(f"m_{c}") for c in ("paper_id", "age", "vec", "cell", "_q", "_m")])
+    candidates = candidates.select(*[F.col(c).alias(f"m_{c}") for c in ("paper_id", "age", "vec", "cell", "radius", "_q", "_m")])
 
     def compare(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(q) and len(m):
-            m = m.sort_values(["m_age", "m_paper_id"])
-            similarity = _unit(q["vec"]) @ _unit(m["m_vec"]).T
-            similarity[m["m_age"].to_numpy()[None, :] >= q["age"].to_numpy()[:, None]] = -np.inf
-            best = np.argsort(-np.round(similarity, 12), axis=1, kind="stable")[:, :k]  # equal vectors tie
-            for i, at in enumerate(best):
-                s = similarity[i, at]
-                ok = s > -np.inf
-                found.append(
-                    pd.DataFrame(
-                        {"paper_id": q["paper_id"].iat[i], "neighbour": m["m_paper_id"].to_numpy()[at[ok]],
-                         "neighbour_age": m["m_age"].to_numpy()[at[ok]], "similarity": s[ok]}
-                    )
-                )
-        return pd.concat(found) if found else pd.DataFrame(columns=["paper_id", "neighbour", "neighbour_age", "similarity"])
-
-    keys = ["cell", "_q", "_m"]
+        if not len(q) or not len(m):
+            return pd.DataFrame(columns=["paper_id", "neighbour", "neighbour_age", "similarity"])
+        m = m.sort_values(["m_age", "m_paper_id"], ignore_index=True)
+        q = q.sort_values(["cell", "age"], ignore_index=True)
+        at, similarity = _nearest(q, m, centres.value[0], k, block)
+        i, j = np.nonzero(similarity > -np.inf)
+        at = at[i, j]
+        return pd.DataFrame(
+            {"paper_id": q["paper_id"].to_numpy()[i], "neighbour": m["m_paper_id"].to_numpy()[at],
+             "neighbour_age": m["m_age"].to_numpy()[at], "similarity": similarity[i, j]}
+        )
+
+    keys = ["_q", "_m"]
     near = (
         queries.groupBy(*keys)
         .cogroup(candidates.groupBy(*[f"m_{c}" for c in keys]))
@@ -141,6 +143,71 @@ def nearest_older(
     )
 
 
+def _packed(counts: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """cell -> (first block, blocks): small cells share a block of about `size`, a larger one has several of its own."""
+    out, at, held = {}, 0, 0
+    for cell, n in sorted(counts.items()):
+        if held and held + n > size:
+            at, held = at + 1, 0
+        parts = -(-n // size)
+        out[cell] = at, parts
+        at, held = (at, held + n) if parts == 1 else (at + parts, 0)
+    return out
+
+
+def _nearest(q: pd.DataFrame, m: pd.DataFrame, points: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `m`, ordered by age and id, of each query's k nearest older members, and their similarities (-inf: none).
+
+    Cells are visited nearest first, by the queries they may still hold a better member for.
+    """
+    mine, theirs = _unit(_stacked(q["vec"])), _unit(_stacked(m["m_vec"]))
+    older = np.searchsorted(m["m_age"].to_numpy(), q["age"].to_numpy())  # so many members are older
+    places = [np.flatnonzero(m["m_cell"] == c) for c in m["m_cell"].unique()]
+    radius, points = m["m_radius"].to_numpy(), points[m["m_cell"].unique()]
+    best, at = np.full((len(q), k), -np.inf), np.full((len(q), k), len(m))
+    exact, reaches = best.copy(), q["reach"].to_numpy()
+    for low in range(0, len(q), ASKED):
+        asked = np.arange(low, min(low + ASKED, len(q)))
+        d = _distance(mine[asked], points)
+        for c in d.min(axis=0).argsort():
+            held = places[c]
+            worst = np.sqrt(np.maximum(2 - 2 * best[asked, -1] + 4e-12, 0.0))
+            reach = np.minimum(reaches[asked], worst) + SLACK
+            near = asked[(d[:, c] - radius[held].max() <= reach) & (radius[held].min() - d[:, c] <= reach)]
+            for start in range(0, len(held), block):
+                near = near[older[near] > held[start]]
+                if not len(near):
+                    break
+                some = held[start : start + block]
+                some = some[: np.searchsorted(some, older[near].max())]
+                s = mine[near] @ theirs[some].T
+                floor = best[near, -1] - 2e-12
+                found = s >= floor[:, None]
+                if np.count_nonzero(found) > 8 * k * len(near) and s.shape[1] > k:
+                    s[some[None, :] >= older[near][:, None]] = -np.inf
+                    floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k] - 2e-12)
+                    found = s >= floor[:, None]
+                i, j = np.nonzero(found)
+                ours = (some[j] < older[near[i]]) & (s[i, j] > -np.inf)
+                i, j = i[ours], j[ours]
+                if not len(i):
+                    continue
+                rows = np.unique(i)
+                old = near[rows]
+                who = np.r_[i, np.repeat(rows, k)]
+                what, place = np.r_[s[i, j], exact[old].ravel()], np.r_[some[j], at[old].ravel()]
+                level = np.round(what, 12)  # equal vectors tie
+                order = np.lexsort((place, -level, who))
+                first = np.searchsorted(who[order], rows)
+                order = order[(first[:, None] + np.arange(k)).ravel()]
+                best[old], exact[old], at[old] = (x[order].reshape(-1, k) for x in (level, what, place))
+    return at, exact
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors)).reshape(len(vectors), -1)
+
+
 def _unit(vectors) -> np.ndarray:
     m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
     length = np.linalg.norm(m, axis=1, keepdims=True)

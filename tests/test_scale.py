@@ -165,6 +165,21 @@ def test_nearest_older_with_a_mass_of_copies(spark, pivots, block):
         assert [got.get(i, {}).get(p) for p in range(1, len(want) + 1)] == want
 
 
+def test_nearest_older_writes_no_row_for_every_cell(spark, monkeypatch):
+    counts, kept = [], neighbours.durable
+
+    def counted(df):
+        out = kept(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "durable", counted)
+    vectors = rng.normal(size=(300, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "paper_id BIGINT, embedding ARRAY<DOUBLE>")
+    assert neighbours.nearest_older(df, 4, pivots=40, block=7).count() == 1 + 2 + 3 + 4 * 296
+    assert max(counts) == 300
+
+
 def test_replies_do_not_depend_on_slices(spark):
     actions = rng.choice(["subscribe", "unsubscribe"], 400)
     who = np.where(rng.random(400) < 0.5, 0, rng.integers(1, 9, 400))
