@@ -16,11 +16,15 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _files(spark, sf, name, key, n=3):
-    """The table as a stream of several files, dealt by a hash of the key: rows come in no order of time."""
+def _files(spark, sf, name, key, batches=3):
+    """The table as a stream of three batches, dealt by a hash of the key: rows come in no order of time.
+
+    A file is about as much as a task reads of the table, so no task writes a whole batch.
+    """
     rows, path = V.table(spark, sf, name), new_path(spark, "landing")
-    rows.repartition(n, F.xxhash64(key)).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = -(-rows.rdd.getNumPartitions() // batches)
+    rows.repartition(batches * each, F.xxhash64(key)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query("t1_score_arrivals", "SELECT o_orderkey AS paper_id, round(o_totalprice / 5000, 6) AS score FROM orders")

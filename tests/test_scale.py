@@ -254,3 +254,24 @@ def test_network_sizes_of_papers_dealt_to_tasks(spark, limits):
     got = {r["paper_id"]: r["coauthor_network_size"] for r in found.collect()}
     assert got == {p: len(names) for p, names in want.items() if names}
     assert "array_distinct" in found._jdf.queryExecution().toString()
+
+
+def test_no_task_writes_a_third_of_a_stream(spark, sf, tmp_path, monkeypatch):
+    from impactlens.catalog import streams
+
+    monkeypatch.setattr(streams, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    plain = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        read = spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
+        stream = streams._files(spark, sf, "documents", "doc_id")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", plain)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "landing").glob("part-*"))) > min(read, 12) > 3
+    rows = []
+    stream.writeStream.foreachBatch(lambda df, i: rows.append(df.count())).option("checkpointLocation", f"{tmp_path}/ck").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert len(rows) <= 3 and sum(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
