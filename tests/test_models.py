@@ -121,6 +121,17 @@ def test_min_df_falls_back_when_it_prunes_all(spark):
     assert text_features.tfidf(rows, min_df=5).count() == 3
 
 
+def test_texts_are_counted_once_when_min_df_falls_back(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "only here", ""), (2, "here twice here", "")], "paper_id INT, title STRING, abstract STRING")
+    calls, kept = [], text_features.durable
+    monkeypatch.setattr(text_features, "durable", lambda df: calls.append(1) or kept(df))
+    wanted = {1: ["here", "here twice", "only", "only here"], 2: ["here"], 3: ["here", "here twice", "only", "only here"]}
+    for least, terms in wanted.items():
+        calls.clear()
+        assert sorted(r["term"] for r in text_features.vocabulary(rows, 4, least).collect()) == terms
+        assert len(calls) == 1
+
+
 def test_feature_shapes_of_two_tiny_papers(spark):
     rows = spark.createDataFrame([(1, "A", "foo bar"), (2, "B", "baz qux")], "paper_id INT, title STRING, abstract STRING")
     out = text_features.TextFeaturizer(max_features=100, n_components=8).fit(rows).transform(rows)
