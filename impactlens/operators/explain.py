@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from impactlens.storage import new_path
 
+# A path of at most so many features has its values worked out for each of its patterns.
+TABLED = 6
+
 
 def background_sample(df: DataFrame, n: int = 100, key: str = "paper_id") -> DataFrame:
     """A repeatable sample of n rows, for explaining against: the smallest hashes of the id."""
@@ -55,23 +58,75 @@ def _holds(x: np.ndarray, tests: tuple) -> np.ndarray:
     return ok
 
 
-def leaf_shapley(x: np.ndarray, value: float, path: list[tuple], phi: np.ndarray) -> None:
-    """Add one leaf's exact path-dependent Shapley values for the rows x to phi.
+def _patterns(x: np.ndarray, paths: list[list[tuple]]) -> Iterator[np.ndarray]:
+    """The number of each row's pattern, path by path: bit j is set where the row's value of the path's feature j lets it
+    go on to the leaf. Tests that the paths of a tree share are made once."""
+    made: dict[tuple, np.ndarray] = {}
+    for path in paths:
+        code = np.zeros(len(x), np.int64)
+        for j, (f, tests, _) in enumerate(path):
+            if (f, tests) not in made:
+                made[f, tests] = _holds(x[:, f], tests).astype(np.int64)
+            code |= made[f, tests] << j
+        yield code
+
+
+def _bits(codes: np.ndarray, m: int) -> np.ndarray:
+    """(pattern, feature of the path): whether the bit is set."""
+    return (codes[:, None] >> np.arange(m) & 1).astype(bool)
+
+
+def leaf_shapley(hit: np.ndarray, path: list[tuple]) -> np.ndarray:
+    """(row, feature of the path): a leaf's exact path-dependent Shapley values of value 1, for the patterns `hit`.
 
     The subset sums are the coefficients of prod (z + o t) over the other features of the path.
     """
     m = len(path)
-    hit = np.stack([_holds(x[:, f], tests) for f, tests, _ in path], axis=1).astype(float) if m else np.zeros((len(x), 0))
+    weights = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+    phi = np.zeros(hit.shape)
     for a in range(m):
-        poly = np.zeros((len(x), m))
+        poly = np.zeros((len(hit), m))
         poly[:, 0] = 1.0
         for b in range(m):
             if b != a:
                 grown = poly * path[b][2]
                 grown[:, 1:] += poly[:, :-1] * hit[:, [b]]
                 poly = grown
-        weights = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
-        phi[:, path[a][0]] += value * (hit[:, a] - path[a][2]) * (poly @ weights)
+        phi[:, a] = (hit[:, a] - path[a][2]) * (poly @ weights)
+    return phi
+
+
+def _explained(df: DataFrame, trees: list[list[tuple]], values_of: Callable, baseline: float, features: str, key: str) -> DataFrame:
+    """(key, phi, baseline): the sum over the leaves (value, path, extra) of value * values_of(patterns, path, extra).
+
+    A leaf's values depend on a row's pattern alone. Those of a path of at most `TABLED` features are worked out for
+    every pattern beforehand and looked up by the rows; of a longer path for the patterns that a batch has.
+    """
+    tabled = [
+        [(value, path, extra, value * values_of(_bits(np.arange(1 << len(path)), len(path)), path, extra) if len(path) <= TABLED else None)
+         for value, path, extra in leaves if path]
+        for leaves in trees
+    ]
+    shared = df.sparkSession.sparkContext.broadcast(tabled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = np.ascontiguousarray(batch.column(1).flatten().to_numpy().reshape(n, -1).T).T if n else np.zeros((0, 1))
+            phi = np.zeros(x.T.shape)
+            for leaves in shared.value if n else ():
+                for (value, path, extra, table), code in zip(leaves, _patterns(x, [leaf[1] for leaf in leaves]), strict=True):
+                    if table is None:
+                        codes, code = np.unique(code, return_inverse=True)
+                        table = value * values_of(_bits(codes, len(path)), path, extra)
+                    for j, (f, _, _) in enumerate(path):
+                        phi[f] += table[:, j][code]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(phi), pa.int32()), pa.array(phi.T.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "phi"])
+
+    id_type = df.schema[key].dataType.simpleString()
+    rows = df.select(key, vector_to_array(features).alias("x"))
+    return rows.mapInArrow(run, f"`{key}` {id_type}, phi ARRAY<DOUBLE>").withColumn("baseline", F.lit(float(baseline)))
 
 
 def _trees(spark: SparkSession, model) -> list[tuple]:
@@ -94,26 +149,12 @@ def _trees(spark: SparkSession, model) -> list[tuple]:
 def tree_attributions(df: DataFrame, model, features: str = "features", key: str = "paper_id") -> DataFrame:
     """(key, phi, baseline) for a fitted tree ensemble; phi sums to prediction - baseline.
 
-    The node table of the model (trees x nodes, set by its depth) goes to the tasks; rows are
-    explained in Arrow batches wherever they lie, all of them.
+    The node table of the model (trees x nodes, set by its depth) goes to the tasks with each leaf's values by
+    pattern; rows are explained in Arrow batches wherever they lie, all of them.
     """
-    spark = df.sparkSession
-    parsed = _trees(spark, model)
-    baseline = sum(w * mean for w, _, mean in parsed)
-    shared = spark.sparkContext.broadcast(parsed)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, 1))
-            phi = np.zeros_like(x)
-            for w, leaves, _ in shared.value:
-                for value, steps in leaves:
-                    leaf_shapley(x, w * value, steps, phi)
-            yield pd.DataFrame({key: frame[key], "phi": list(phi)})
-
-    id_type = df.schema[key].dataType.simpleString()
-    rows = df.select(key, vector_to_array(features).alias("x"))
-    return rows.mapInPandas(run, f"{key} {id_type}, phi ARRAY<DOUBLE>").withColumn("baseline", F.lit(baseline))
+    parsed = _trees(df.sparkSession, model)
+    trees = [[(w * value, path, None) for value, path in leaves] for w, leaves, _ in parsed]
+    return _explained(df, trees, lambda hit, path, _: leaf_shapley(hit, path), sum(w * mean for w, _, mean in parsed), features, key)
 
 
 def _hits(x: np.ndarray, path: list[tuple]) -> np.ndarray:
@@ -153,35 +194,23 @@ def background_attributions(
 
     `background` is a small sample, as of `background_sample`; none, or more than `most` rows, raise ValueError. The
     driver turns it into the patterns in which its rows meet each leaf, with their shares; those go to the tasks with
-    the node table, the rows themselves do not. In a batch the rows that meet a leaf in one pattern are explained once.
+    the node table, the rows themselves do not. Rows that meet a leaf in one pattern are explained once.
     """
     spark = df.sparkSession
     sample = background.select(vector_to_array(features).alias("x")).limit(most + 1).collect()
     if not 0 < len(sample) <= most:
         raise ValueError(f"the background has to have 1 to {most} rows")
     z = np.array([r["x"] for r in sample])
-    met, baseline = [], 0.0
+    trees, baseline = [], 0.0
     for weight, leaves, _ in _trees(spark, model):
+        met = []
         for value, path in leaves:
             other, count = np.unique(_hits(z, path), axis=0, return_counts=True) if path else (np.zeros((1, 0), bool), np.array([len(z)]))
             share = count / len(z)
             baseline += weight * value * share[other.all(axis=1)].sum()
-            met.append((weight * value, path, other, share))
-    shared = spark.sparkContext.broadcast(met)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x = np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, 1))
-            phi = np.zeros_like(x)
-            for value, path, other, share in shared.value:
-                if path and len(x):
-                    hit, at = np.unique(_hits(x, path), axis=0, return_inverse=True)
-                    phi[:, [f for f, _, _ in path]] += value * leaf_contrast(hit, other, share)[at.ravel()]
-            yield pd.DataFrame({key: frame[key], "phi": list(phi)})
-
-    id_type = df.schema[key].dataType.simpleString()
-    rows = df.select(key, vector_to_array(features).alias("x"))
-    return rows.mapInPandas(run, f"{key} {id_type}, phi ARRAY<DOUBLE>").withColumn("baseline", F.lit(float(baseline)))
+            met.append((weight * value, path, (other, share)))
+        trees.append(met)
+    return _explained(df, trees, lambda hit, _, sample: leaf_contrast(hit, *sample), baseline, features, key)
 
 
 def feature_name(position: Column, names: Sequence[str] | None) -> Column:

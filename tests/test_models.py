@@ -228,6 +228,36 @@ def test_background_attributions_equal_enumeration(spark, kind):
     assert explain.background_attributions(rows.limit(0), model, sample).count() == 0
 
 
+@pytest.mark.parametrize("tabled", [0, 6])
+def test_attributions_do_work_by_pattern(spark, monkeypatch, tabled):
+    """A leaf is explained once for each pattern of its path, not for each row; looked up or worked out in the batch, the values are the same."""
+    from pyspark.ml.linalg import Vectors
+
+    x = rng.integers(0, 4, size=(3000, 4)).astype(float)
+    given = [(i, Vectors.dense(v), float(v[0] * v[1] + v[2])) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(given, ["paper_id", "features", "y"]).coalesce(1).persist()
+    model = GBTRegressor(labelCol="y", maxIter=3, maxDepth=4, seed=1).fit(rows)
+    monkeypatch.setattr(explain, "TABLED", tabled)
+    sample = explain.background_sample(rows, 20)
+    most = 1 << 4
+
+    def few(work):
+        def checked(hit, *others):
+            assert len(hit) <= most, f"{len(hit)} rows for at most {most} patterns"
+            return work(hit, *others)
+
+        return checked
+
+    monkeypatch.setattr(explain, "leaf_shapley", few(explain.leaf_shapley))
+    monkeypatch.setattr(explain, "leaf_contrast", few(explain.leaf_contrast))
+    scored = model.transform(rows).select("paper_id", "prediction")
+    for phi in (explain.tree_attributions(rows, model), explain.background_attributions(rows, model, sample)):
+        out = phi.join(scored, "paper_id").collect()
+        assert len(out) == 3000
+        for r in out:
+            assert r["baseline"] + sum(r["phi"]) == pytest.approx(r["prediction"])
+
+
 def test_ranker_improves_on_no_ranking(spark):
     from pyspark.ml.feature import VectorAssembler
 
