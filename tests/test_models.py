@@ -132,6 +132,26 @@ def test_texts_are_counted_once_when_min_df_falls_back(spark, monkeypatch):
         assert len(calls) == 1
 
 
+@pytest.mark.parametrize("counted", [3, 1 << 20])
+def test_terms_of_some_documents_are_one_row_each(monkeypatch, counted):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    docs = [[], *([str(w) for w in rng.choice(WORDS[:4], n)] for n in (1, 7, 0, 2, 40, 3)), []]
+    monkeypatch.setattr(text_features, "COUNTED", counted)
+    rows = pa.concat_tables(pa.Table.from_batches([b]) for b in text_features._term_counts(iter([pa.record_batch({"_tokens": docs})]))).to_pylist()
+    terms = [d + [f"{a} {b}" for a, b in itertools.pairwise(d)] for d in docs]
+    cf, df = Counter(t for d in terms for t in d), Counter(t for d in terms for t in set(d))
+    for kind, want in (("cf", cf), ("df", df)):
+        got = Counter()
+        for r in rows:
+            got[r["term"]] += r[kind]
+        assert got == want
+    if counted > 100:  # not a row for each place, as there was
+        assert len(rows) == len(cf)
+
+
 def test_feature_shapes_of_two_tiny_papers(spark):
     rows = spark.createDataFrame([(1, "A", "foo bar"), (2, "B", "baz qux")], "paper_id INT, title STRING, abstract STRING")
     out = text_features.TextFeaturizer(max_features=100, n_components=8).fit(rows).transform(rows)
