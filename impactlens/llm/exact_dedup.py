@@ -6,10 +6,10 @@ texts of a range together, and every text is compared in full with the one befor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from impactlens.llm.columns import ascii_lower, shuffle_partitions, text_of, unused
-from impactlens.storage import new_path
+from impactlens.llm.columns import ascii_lower, shuffle_partitions, text_of
+from impactlens.storage import new_path, stored
 
 # Text of a range: bounds what one task sorts.
 RANGE_BYTES = 32 << 20
@@ -41,24 +41,16 @@ def _place(splitters: list, key: Column, below: bool) -> Column:
     return F.aggregate(halves, F.lit(0), step)
 
 
-def exact_duplicates(
-    docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", parts: int | None = None
-) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) per row, dropped ones too.
-
-    Texts are equal when they are after lower-casing A-Z; null counts as empty. Of equal texts the row
-    with the smallest id is kept, or the one with the largest with keep="largest". A null id is kept
-    only if its group has no other, and of repeated rows, which share the id to keep, one is kept. An
-    empty table gives no rows; other columns are left out.
+def _dealt(docs: DataFrame, id_col: str, text_col: str, parts: int | None, whole: bool = False) -> DataFrame:
+    """(part, cut, row, id, norm) per row, dealt to `parts` ranges of the normalised texts; with `whole` the row itself
+    too, as `given`, which then travels in place of the normalised text.
 
-    The texts are shuffled once. A text so frequent that it fills ranges by itself is dealt over those
-    ranges by row; only their totals, one row for each such range, are brought together again.
+    A text that fills ranges by itself is dealt over them, and `cut` is their first; it is null for all others.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
     norm = ascii_lower(text_of(text_col))
-    given = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given")] if whole else []
+    given = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *row)
     if parts is None:
         size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
         parts = min(MOST_RANGES, max(2 * shuffle_partitions(spark), size // RANGE_BYTES + 1))
@@ -77,11 +69,43 @@ def exact_duplicates(
     dealt = (
         keyed.withColumns({"low": low, "high": high, "row": F.monotonically_increasing_id()})
         .withColumn("part", F.col("low") + spread)
-        .select("part", F.when(F.col("high") > F.col("low"), F.col("low")).alias("cut"), "row", "id", "norm")
+        .select("part", F.when(F.col("high") > F.col("low"), F.col("low")).alias("cut"), "row", *(["given"] if whole else ["id", "norm"]))
         .repartition(parts, "part")
     )
+    if not whole:
+        return dealt
+    return dealt.withColumns({"id": F.col("given")[id_col], "norm": ascii_lower(F.coalesce(F.col("given")[text_col].cast("string"), F.lit("")))})
+
+
+def _in_order(keep: str) -> WindowSpec:
+    """The rows of a range by text, of equal texts the one to keep first."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep is smallest or largest")
     best = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    order = W.partitionBy("part").orderBy("norm", best, "row")
+    return W.partitionBy("part").orderBy("norm", best, "row")
+
+
+def _better(keep: str, key: Column, row: Column) -> Column:
+    """Of the first rows of the ranges that a frequent text fills, the id and row to keep."""
+    pick = F.min if keep == "smallest" else F.max
+    return pick(F.struct((key.isNull() if keep == "smallest" else key.isNotNull()).alias("none"), key.alias("id"), row.alias("row")))
+
+
+def exact_duplicates(
+    docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text", parts: int | None = None
+) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) per row, dropped ones too.
+
+    Texts are equal when they are after lower-casing A-Z; null counts as empty. Of equal texts the row
+    with the smallest id is kept, or the one with the largest with keep="largest". A null id is kept
+    only if its group has no other, and of repeated rows, which share the id to keep, one is kept. An
+    empty table gives no rows; other columns are left out.
+
+    The texts are shuffled once. A text so frequent that it fills ranges by itself is dealt over those
+    ranges by row; only their totals, one row for each such range, are brought together again.
+    """
+    spark, order = docs.sparkSession, _in_order(keep)
+    dealt = _dealt(docs, id_col, text_col, parts)
     before = F.lag("norm").over(order)
     runs = (
         dealt.withColumn("starts", (before.isNull() | (before != F.col("norm"))).cast("long"))
@@ -99,12 +123,10 @@ def exact_duplicates(
     grouped = spark.read.schema(grouped.select("starts", "cut", "row", "id", "text_sha256", "first", "n").schema).parquet(path)
 
     # one run for each range that a frequent text fills: at most as many rows as ranges
-    pick = F.min if keep == "smallest" else F.max
-    by_id = F.struct(F.col("first.id").isNull() if keep == "smallest" else F.col("first.id").isNotNull(), F.col("first.id"), F.col("first.row"))
     across = (
         grouped.filter("cut IS NOT NULL AND starts = 1")
         .groupBy("cut", "text_sha256")
-        .agg(pick(by_id).alias("all_first"), F.sum("n").alias("all_n"))
+        .agg(_better(keep, F.col("first.id"), F.col("first.row")).alias("all_first"), F.sum("n").alias("all_n"))
         .select("cut", "text_sha256", F.struct(F.col("all_first.id").alias("id"), F.col("all_first.row").alias("row")).alias("all_first"), "all_n")
     )
     found = grouped.join(F.broadcast(across), ["cut", "text_sha256"], "left")
@@ -119,18 +141,16 @@ def exact_duplicates(
 
 
 def keep_one(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, one for each distinct normalised text: the one exact_duplicates keeps; of repeated rows one."""
-    digest = F.sha2(ascii_lower(text_of(text_col)), 256)
-    name = unused(docs, "key")
-    key = lambda digest: F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("text")).alias(name)
-    found = exact_duplicates(docs, keep, id_col, text_col)
-    path = new_path(docs.sparkSession, "dropped")
-    totals = found.select(key(F.col("text_sha256")), "kept").groupBy(name).agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")
-    )
-    totals.filter("NOT kept OR n > 1").write.parquet(path)
-    decided = docs.sparkSession.read.parquet(path)
-    rest = docs.select("*", key(digest)).join(decided.filter("NOT kept").select(name), name, "left_anti")
-    if decided.filter("kept AND n > 1").limit(1).count():
-        rest = rest.dropDuplicates([name])
-    return rest.select(*docs.columns)
+    """The rows of `docs`, one for each distinct normalised text: the one exact_duplicates keeps; of repeated rows one.
+
+    Whole rows are shuffled once and the first of each text in its range is written; of a text that fills ranges by
+    itself, one row for each such range, the best is looked up.
+    """
+    order = _in_order(keep)
+    before = F.lag("norm").over(order)
+    first = _dealt(docs, id_col, text_col, None, whole=True).withColumn("starts", before.isNull() | (before != F.col("norm"))).filter("starts")
+    sha = F.when(F.col("cut").isNotNull(), F.sha2("norm", 256)).alias("text_sha256")
+    kept = stored(first.select("cut", sha, "id", "row", "given"), "kept")
+    across = kept.filter("cut IS NOT NULL").groupBy("cut", "text_sha256").agg(_better(keep, F.col("id"), F.col("row"))["row"].alias("best"))
+    found = kept.join(F.broadcast(across), ["cut", "text_sha256"], "left")
+    return found.filter("best IS NULL OR best = row").select("given.*")

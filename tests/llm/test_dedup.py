@@ -124,3 +124,28 @@ def test_exact_duplicates_of_odd_rows(spark):
     assert exact_dedup.keep_one(twice).count() == 2
     assert sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()) == [1, 3, 5, 6, 7, 9, 10]
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0 and exact_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_keep_one_shuffles_the_texts_once(spark, keep):
+    """Whole rows come back, the texts being too many to broadcast their keys; no plan joins them by key."""
+    rng = random.Random(5)
+    rows = [(rng.choice("XY"), i if i % 50 else None, rng.choice(["Hot", "hot", "", None, f"t{i}", f"T{i % 90}"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "lang string, doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_dedup.keep_one(docs, keep)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    groups = {}
+    for row in rows:
+        groups.setdefault((row[2] or "").translate(FOLD), []).append(row)
+    assert "SortMergeJoin" not in plan
+    assert found.columns == docs.columns and len(got) == len(groups)
+    for r in got:
+        group = groups.pop((r.text or "").translate(FOLD))
+        ids = [i for _, i, _ in group if i is not None]
+        assert r.doc_id == ((max(ids) if keep == "largest" else min(ids)) if ids else None)
+        assert (r.lang, r.doc_id, r.text) in group
