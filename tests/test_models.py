@@ -278,6 +278,32 @@ def test_attributions_do_work_by_pattern(spark, monkeypatch, tabled):
             assert r["baseline"] + sum(r["phi"]) == pytest.approx(r["prediction"])
 
 
+def test_rank_gradients_run_no_function_per_pair(spark):
+    """Every row meets up to 30 leaders; what is done for a pair is compiled, no lambda is interpreted for it."""
+    from impactlens.operators.skew import count_keys
+
+    rows = spark.createDataFrame([(i, f"c{i % 3}", float(rng.integers(0, 4)), float(rng.normal())) for i in range(200)], "paper_id INT, cohort STRING, y DOUBLE, score DOUBLE")
+    out = ranker.gradients(rows, count_keys(rows, "cohort"), ranker.ideal_dcg(rows, 5), 5)
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["paper_id"]: (r["g"], r["h"]) for r in out.collect()}
+    want = {}
+    disc = lambda p: 1 / np.log2(1 + p) if p <= 5 else 0.0
+    for c in ("c0", "c1", "c2"):
+        own = sorted((r for r in rows.collect() if r["cohort"] == c), key=lambda r: (-r["score"], r["paper_id"]))
+        ideal = sum(y * disc(i) for i, y in enumerate(sorted((r["y"] for r in own), reverse=True), 1))
+        for (i, a), (j, b) in itertools.combinations(enumerate(own, 1), 2):
+            if i > 5 or a["y"] == b["y"]:
+                continue
+            weight, sign = abs(a["y"] - b["y"]) * abs(disc(i) - disc(j)) / ideal, 1 if a["y"] > b["y"] else -1
+            doubt = 1 / (1 + np.exp(sign * (a["score"] - b["score"])))
+            for r, s in ((a, sign), (b, -sign)):
+                g, h = want.get(r["paper_id"], (0.0, 0.0))
+                want[r["paper_id"]] = (g + s * doubt * weight, h + doubt * (1 - doubt) * weight)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+
+
 def test_ranker_improves_on_no_ranking(spark):
     from pyspark.ml.feature import VectorAssembler
 
