@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from impactlens.operators.skew import count_keys, spread_join
+from impactlens.operators.skew import ROWS_PER_TASK, count_keys, spread_join
 from impactlens.storage import durable, stored
 
 # Papers above this many authors are paired block by block, so that one task never holds
@@ -42,19 +42,27 @@ def incidence(authors: DataFrame, cutoff: str | None = None) -> DataFrame:
     return spread_join(rows, numbered, "paper_id", counts=sizes)
 
 
-def block_pairs(rows: DataFrame, key: str, item: str, size: str, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, u, v, u_<column>, v_<column>) with u < v for every two items of a key.
+def block_cells(rows: DataFrame, key: str, item: str, size: str, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, item, carry..., _block, _lo, _hi): every item in each pair of blocks of its key that it belongs to.
 
     `size` names the column with the number of items of the key. Items of a large key are hashed
-    into blocks and each pair of blocks is a join key of its own, so the pairs of one key are made
-    by many tasks. Ordinary keys are one block.
+    into blocks; ordinary keys are one block.
     """
-    cells = (
+    return (
         rows.withColumn("_blocks", F.ceil(F.col(size) / block).cast("int"))
         .withColumn("_block", F.when(F.col("_blocks") == 1, 0).otherwise(F.pmod(F.hash(item), F.col("_blocks"))))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(key, item, *carry, "_block", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"))
     )
+
+
+def block_pairs(rows: DataFrame, key: str, item: str, size: str, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, u, v, u_<column>, v_<column>) with u < v for every two items of a key.
+
+    Each pair of blocks of a large key is a join key of its own, so the pairs of one key are made
+    by many tasks.
+    """
+    cells = block_cells(rows, key, item, size, block, carry)
     a, b = cells.alias("a"), cells.alias("b")
     same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "_lo", "_hi")]
     once = (F.col("a._lo") == F.col("a._hi")) | (F.col("a._block") != F.col("b._block"))
@@ -69,9 +77,29 @@ def author_pairs(inc: DataFrame, block: int = BLOCK) -> DataFrame:
     return block_pairs(inc, "paper_id", "author", "n_authors", block)
 
 
-def coauthor_edges(inc: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v, weight): weight is the number of papers the two share."""
-    return author_pairs(inc, block).groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight"))
+def coauthor_edges(inc: DataFrame, block: int = BLOCK, pairs_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(u, v, weight): weight is the number of papers the two share.
+
+    Papers are dealt to tasks that make about `pairs_per_task` pairs each, at any size of the table, and count
+    them there; what is left of a pair is added up by as many tasks.
+    """
+    known = F.col("paper_id").isNotNull() & F.col("author").isNotNull()  # nulls meet nothing
+    inc = stored(inc.select("paper_id", "author", "n_authors").filter(known), "incidence")
+    parallel = int(inc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = inc.agg(F.sum(F.col("n_authors") - 1)).first()[0] or 0
+    tasks = max(parallel, made // (2 * pairs_per_task) + 1)
+    cells = block_cells(inc, "paper_id", "author", "n_authors", block)
+    dealt = cells.withColumn("_task", F.pmod(F.hash("paper_id", "_lo", "_hi"), F.lit(tasks))).repartitionById(tasks, "_task")
+    # the task's number is the first key throughout, so nothing is shuffled until its pairs are counted
+    side = lambda inside: F.collect_list(F.when(inside, F.col("author")))
+    first = F.col("_block") == F.col("_lo")
+    met = dealt.groupBy("_task", "paper_id", "_lo", "_hi").agg(side(first).alias("_near"), side(~first).alias("_far"))
+    same = F.col("_lo") == F.col("_hi")
+    behind = F.when(same, F.slice("_near", F.col("_place") + 2, F.greatest(F.size("_near"), F.lit(1)))).otherwise(F.col("_far"))
+    ends = met.select("*", F.posexplode("_near").alias("_place", "_a")).select("_task", "_a", F.explode(behind).alias("_b"))
+    pairs = ends.select("_task", F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v")).filter("u < v")
+    counted = pairs.groupBy("_task", "u", "v").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.repartition(tasks, "u", "v").groupBy("u", "v").agg(F.sum("weight").alias("weight"))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
