@@ -26,7 +26,8 @@ GRID, WIDTH = 4, 0.5
 def log_gamma(x: Column) -> Column:
     """ln gamma(x) for x > 0 to about 1e-12: Stirling's series eight further up, and the recurrence back."""
     shifted = x + 8
-    series = 1 / (12 * shifted) - 1 / (360 * F.pow(shifted, 3)) + 1 / (1260 * F.pow(shifted, 5)) - 1 / (1680 * F.pow(shifted, 7))
+    part, square = 1 / shifted, 1 / (shifted * shifted)
+    series = part * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
     stirling = (shifted - 0.5) * F.log(shifted) - shifted + 0.5 * math.log(2 * math.pi) + series
     back = x
     for i in range(1, 8):
@@ -66,6 +67,22 @@ def _inflated_log_chance(y: Column, zero: Column, mean: Column, dispersion: Colu
     return F.when(y > 0, F.log1p(-zero) + counted).otherwise(F.log(zero + (1 - zero) * F.exp(counted)))
 
 
+def _likelihoods(scored: DataFrame, grid: list[float]) -> list[float]:
+    """The mean log-likelihood of y, never_cited and count_mean for each dispersion of the grid, in one pass.
+
+    What does not depend on the dispersion is worked out once for a row; a count of 0 needs no gamma function.
+    """
+    y, zero, mean = F.col("y"), F.col("never_cited"), F.col("count_mean")
+    fixed = F.when(y > 0, F.log1p(-zero) - log_gamma(y + 1) + y * F.log(mean))
+    rows = scored.select("y", "never_cited", "count_mean", fixed.alias("_fixed"))
+    values = []
+    for dispersion in grid:
+        size, spread = 1 / dispersion, F.log1p(dispersion * mean)
+        counted = F.col("_fixed") + log_gamma(y + size) - math.lgamma(size) - (y + size) * spread + y * math.log(dispersion)
+        values.append(F.when(y > 0, counted).otherwise(F.log(zero + (1 - zero) * F.exp(-size * spread))))
+    return list(rows.agg(*[F.avg(v).alias(f"v{i}") for i, v in enumerate(values)]).first())
+
+
 @dataclass
 class ZeroInflated:
     """The linear predictors of the never cited and of the logarithm of the mean, and the dispersion."""
@@ -137,13 +154,11 @@ def fit_zero_inflated(
             "mean_weight": F.greatest((1 - F.col("structural")) * mean / (1 + dispersion * mean), F.lit(1e-9)),
         })
         models = regression("zero_target", "zero_weight").fit(asked), regression("mean_target", "mean_weight").fit(asked)
-        scored = durable(_predicted(given, *models))
+        # two products a row, so the chances are worked out where they are needed and never written
+        scored = _predicted(given, *models)
         # the last dispersion is one of the grid, so the likelihood never falls by this step
         grid = sorted({min(max(dispersion * math.exp(i * width), LEAST_DISPERSION), MOST_DISPERSION) for i in range(-GRID, GRID + 1)})
-        tried = scored.select("y", "never_cited", "count_mean", F.explode(F.lit(grid)).alias("tried"))
-        chance = _inflated_log_chance(y, F.col("never_cited"), F.col("count_mean"), F.col("tried"))
-        likelihoods = tried.groupBy("tried").agg(F.avg(chance).alias("value")).collect()  # one row for each of the grid
-        last, (value, dispersion) = dispersion, max((r["value"], r["tried"]) for r in likelihoods)
+        last, (value, dispersion) = dispersion, max(zip(_likelihoods(scored, grid), grid, strict=True))
         # narrow the grid around its middle, widen it where its end is the best
         steps = abs(math.log(dispersion / last)) / width
         width = width / 2 if steps < 1.5 else width * 2 if steps > GRID - 0.5 else width

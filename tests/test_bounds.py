@@ -4,7 +4,27 @@ import itertools
 import random
 from collections import Counter
 
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
 from impactlens.operators import coauthors
+from impactlens.plans import counts, intervals
+
+
+@pytest.fixture(scope="module")
+def papers(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.uniform(0, 4), float(max(0, round(rng.gauss(2, 3))))) for i in range(600)]
+    given = spark.createDataFrame(rows, "paper_id LONG, a DOUBLE, y12 DOUBLE")
+    return VectorAssembler(inputCols=["a"], outputCol="features").transform(given).persist()
+
+
+def counted(monkeypatch, module):
+    """The tables a module makes durable from here on."""
+    made, plain = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df: made.append(df.columns) or plain(df))
+    return made
 
 
 def test_pairs_are_counted_in_tasks_of_a_set_size(spark):
@@ -19,3 +39,31 @@ def test_pairs_are_counted_in_tasks_of_a_set_size(spark):
         edges = coauthors.coauthor_edges(inc, block=block, pairs_per_task=100)
         assert edges.rdd.getNumPartitions() >= sum(wanted.values()) / 100
         assert {(r["u"], r["v"]): r["weight"] for r in edges.collect()} == wanted
+
+
+def test_rounds_of_the_count_model_write_no_table(monkeypatch, papers):
+    made = counted(monkeypatch, counts)
+    counts.fit_zero_inflated(papers, max_rounds=3)
+    assert len(made) == 1
+
+
+def test_likelihoods_of_a_grid_in_one_pass(papers):
+    scored = papers.select(F.col("y12").alias("y"), (F.col("a") / 5 + 0.01).alias("never_cited"), F.exp("a").alias("count_mean"))
+    grid = [1e-4, 0.3, 1.0, 50.0, 1e4]
+    model = lambda a: counts.ZeroInflated(None, None, a, 0.0, 0)
+    wanted = [scored.agg(F.avg(model(a).log_chance(F.col("y")))).first()[0] for a in grid]
+    assert counts._likelihoods(scored, grid) == pytest.approx(wanted, abs=1e-9)
+
+
+def test_a_round_of_quantile_trees_keeps_the_rows_once(monkeypatch, papers):
+    made = counted(monkeypatch, intervals)
+    intervals.fit_quantile(papers, 0.9, rounds=3)
+    assert len(made) == 1 + 3
+
+
+def test_leaf_values_are_looked_up_by_place(spark):
+    rows = spark.createDataFrame([(0,), (2,), (3,), (9,), (None,)], f"{intervals.LEAF} INT")
+    assert [r["v"] for r in rows.select(intervals._value({0: 1.5, 3: -2.0}).alias("v")).collect()] == [1.5, 0.0, -2.0, 0.0, 0.0]
+    assert {r["v"] for r in rows.select(intervals._value({}).alias("v")).collect()} == {0.0}
+    plan = rows.select(intervals._value({0: 1.5, 3: -2.0}).alias("v"))._jdf.queryExecution().toString()
+    assert "lambda" not in plan
