@@ -60,8 +60,11 @@ def _with_leaf(df: DataFrame, tree: DecisionTreeRegressionModel) -> DataFrame:
 
 
 def _value(values: dict[int, float]) -> Column:
-    table = F.create_map(*[F.lit(x) for leaf, v in sorted(values.items()) for x in (int(leaf), float(v))])
-    return F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.col(LEAF))), F.lit(0)), F.lit(0.0))
+    """The value of a row's leaf, 0 for one without; leaves are numbered from 0, so it is looked up by place."""
+    if not values:
+        return F.lit(0.0)
+    table = F.array(*[F.lit(float(values.get(i, 0.0))) for i in range(max(values) + 1)])
+    return F.coalesce(F.get(table, F.col(LEAF)), F.lit(0.0))
 
 
 def fit_quantile(
@@ -77,16 +80,17 @@ def fit_quantile(
     if base is None:
         raise ValueError("no row has a label")
     made = QuantileTrees(quantile, base, step)
-    state = durable(known.withColumn("_f", F.lit(base)))
+    state = durable(known).withColumn("_f", F.lit(base))
     for _ in range(rounds):
-        signs = state.withColumn("_g", F.when(F.col("_y") > F.col("_f"), quantile).otherwise(quantile - 1))
+        signs = state.select(features, F.when(F.col("_y") > F.col("_f"), quantile).otherwise(quantile - 1).alias("_g"))
         tree = DecisionTreeRegressor(labelCol="_g", featuresCol=features, maxDepth=max_depth, seed=SEED).fit(signs)
+        # kept once a round, with the leaf; what the leaf adds is worked out where the next round reads it
         placed = durable(_with_leaf(state, tree).withColumn("_r", F.col("_y") - F.col("_f")))
         # one row for each leaf
         found = {r[LEAF]: r["v"] for r in quantiles(placed, "_r", {"v": quantile}, (LEAF,)).collect()}
         made.trees.append(tree)
         made.values.append(found)
-        state = durable(placed.select(features, "_y", (F.col("_f") + step * _value(found)).alias("_f")))
+        state = placed.select(features, "_y", (F.col("_f") + step * _value(found)).alias("_f"))
     return made
 
 
