@@ -355,3 +355,29 @@ def test_a_label_does_not_save_a_text_in_no_learned_language(spark):
     docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string")
     kept = language_id.known_language(docs).collect()
     assert {r.doc_id for r in kept} == {i for i, _, _ in rows}
+
+
+def test_all_labelled_texts_are_learned_from(spark):
+    """Each half's model counts every text of it, far more than the few hundred that a bounded sample would."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("ab cd efg hi".split()) for _ in range(5)) + f" w{chr(0x400 + i)}", "en" if i % 2 else "de") for i in range(1400)]
+    rows += [(2000, "αβγ", "el"), (2001, "nobody's", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    halves, apart = language_id.fit_halves(docs, order=2)
+    assert apart == ["de", "en"] and halves.languages == ["de", "el", "en"]
+    own = dict(docs.select("doc_id", language_id.half_of(F.col("text"))).collect())
+    texts = [t.encode() for _, t, _ in rows[::100]]
+    for side in (0, 1):
+        counts = {lang: {n: Counter() for n in (1, 2, 3)} for lang in apart}
+        for i, text, lang in rows:
+            data = text.lower().encode()
+            for n in (1, 2, 3) if lang in apart and own[i] == side else ():
+                counts[lang][n].update(data[j : j + n] for j in range(len(data) - n + 1))
+        got = halves.models[side].code_lengths(texts)
+        assert np.allclose(got[:, [0, 2]], [[plain_bits(t, counts[lang], 2) for lang in apart] for t in texts], atol=1e-3)
+    # a text is scored by the model of the half it is not in
+    both = np.stack([m.code_lengths(texts) for m in halves.models])
+    assert np.allclose(halves.code_lengths(texts, np.array([0] * len(texts))), both[1])
+    assert np.allclose(halves.code_lengths(texts, np.array([-1] * len(texts))), both.mean(axis=0))
+    kept = {r.doc_id for r in language_id.known_language(docs).collect()}
+    assert kept >= {i for i, _, _ in rows[:1400]} | {2000}
