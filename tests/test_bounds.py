@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from impactlens.operators import coauthors
+from impactlens import storage
+from impactlens.operators import centrality, coauthors, graph_features
 from impactlens.plans import counts, intervals
 
 
@@ -67,3 +70,40 @@ def test_leaf_values_are_looked_up_by_place(spark):
     assert {r["v"] for r in rows.select(intervals._value({}).alias("v")).collect()} == {0.0}
     plan = rows.select(intervals._value({0: 1.5, 3: -2.0}).alias("v"))._jdf.queryExecution().toString()
     assert "lambda" not in plan
+
+
+def test_what_is_kept_leaves_no_shuffles_and_can_be_dropped(spark, tmp_path):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    shuffled = lambda: {f.name for f in local.rglob("shuffle_*.data")}
+    before, setting = shuffled(), spark.conf.get(storage.CLEANUP, None)
+    for keep in (storage.durable, lambda df: storage.stored(df, "sums")):
+        kept = keep(rows.repartition(5, "k").groupBy("k").agg(F.sum("id").alias("n")))
+        assert storage.is_kept(kept) and not storage.is_kept(kept.select("k"))
+        assert {r["k"]: r["n"] for r in kept.collect()} == {k: sum(range(k, 1000, 7)) for k in range(7)}
+        at = Path(str(kept._kept_at).removeprefix("file:"))
+        assert at.exists()
+        storage.dropped(kept, rows)
+        assert not at.exists()
+    assert spark.conf.get(storage.CLEANUP, None) == setting
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
+def test_rounds_of_lists_give_the_whole_result(spark, monkeypatch):
+    """Clustering and network sizes in rounds of a few entries are those of one round."""
+    rng = random.Random(5)
+    pairs = {(p, f"a{rng.randint(0, 14):02d}") for p in range(40) for _ in range(rng.randint(1, 6))}
+    rows = spark.createDataFrame(sorted(pairs), "paper_id INT, author STRING").withColumn("published", F.lit("1999-01-01").cast("timestamp_ntz"))
+    edges = storage.stored(coauthors.coauthor_edges(coauthors.incidence(rows)), "edges")
+    whole = {r["author"]: r["clustering"] for r in centrality.clustering(edges).collect()}
+    parts = {r["author"]: r["clustering"] for r in centrality.clustering(edges, block=3, at_once=80).collect()}
+    assert parts == pytest.approx(whole)
+    rounds, plain = [], graph_features._distinct_entries
+    monkeypatch.setattr(graph_features, "_distinct_entries", lambda *given: rounds.append(1) or plain(*given))
+    sizes = [graph_features.network_sizes(rows, edges, **limits).collect() for limits in ({}, {"at_once": 400, "rows_per_task": 9, "block": 4})]
+    assert sorted(sizes[0]) == sorted(sizes[1]) and len(rounds) > 3
+    # the caller's table is not deleted
+    assert edges.count() == len(edges.collect())
